@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from heddle.llm import quality
+from heddle.llm import packing, quality, wavelet
 
 QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
+    "op9_token_binary": wavelet.op9_token_binary,
+    "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
 ORACLES: dict[str, str] = {}

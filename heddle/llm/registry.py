@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from heddle.llm import packing, quality, wavelet
+from heddle.llm import chat, decontaminate, packing, quality, wavelet
 
 QUERIES = {
+    "op1_chat_formatting": chat.op1_chat_formatting,
+    "op7_decontamination": decontaminate.op7_decontamination,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_binary": wavelet.op9_token_binary,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_chat_formatting": chat.ORACLE_SQL,
+    "op7_decontamination": decontaminate.ORACLE_SQL,
+}

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from heddle.llm import chat, decontaminate, packing, quality, wavelet
+from heddle.llm import chat, decontaminate, packing, quality, urls, wavelet
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op3_url_filters": urls.op3_url_filters,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_binary": wavelet.op9_token_binary,
@@ -14,5 +15,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": chat.ORACLE_SQL,
+    "op3_url_filters": urls.ORACLE_SQL,
     "op7_decontamination": decontaminate.ORACLE_SQL,
 }

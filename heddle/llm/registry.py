@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from heddle.llm import chat, decontaminate, packing, quality, urls, wavelet
+from heddle.llm import chat, decontaminate, packing, quality, simhash, urls, wavelet
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op3_url_filters": urls.op3_url_filters,
+    "op4_simhash": simhash.op4_simhash,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_binary": wavelet.op9_token_binary,

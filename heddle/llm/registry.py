@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from heddle.llm import chat, decontaminate, packing, quality, simhash, urls, wavelet
+from heddle.llm import chat, decontaminate, packing, quality, simhash, suffixes, urls, wavelet
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
+    "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_url_filters": urls.op3_url_filters,
     "op4_simhash": simhash.op4_simhash,
     "op7_decontamination": decontaminate.op7_decontamination,

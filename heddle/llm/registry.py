@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from heddle.llm import chat, decontaminate, packing, quality, simhash, suffixes, urls, wavelet
+from heddle.llm import chat, chunks, decontaminate, packing, pii, quality, simhash, suffixes, urls, wavelet
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_suffix_dedup": suffixes.op2_suffix_dedup,
     "op3_url_filters": urls.op3_url_filters,
     "op4_simhash": simhash.op4_simhash,
+    "op5_pii": pii.op5_pii,
+    "op6_substring_dedup": chunks.op6_substring_dedup,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_binary": wavelet.op9_token_binary,

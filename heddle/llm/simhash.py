@@ -256,3 +256,10 @@ def near_duplicates(
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int, budget: int = BUDGET, text_col: str = "text") -> DataFrame:
+    """``docs`` with one document (that of the least id) of each group of near-duplicates."""
+    found = near_duplicates(docs, shingle, budget, text_col=text_col)
+    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc")).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")), "left_semi")

@@ -105,9 +105,9 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "n_stop_words": F.size(F.filter("_words", lambda w: F.lower(w).isin(*STOP_WORDS))),
         "n_repeat_words": covered,
     }
-    return found.withColumns({k: v.cast("long") for k, v in counted.items()}).drop(
-        "_text", "_words", "_windows", "_lines", "_places"
-    )
+    # A generator of one row: filters on features stay above it, where each is computed once.
+    one = F.inline(F.array(F.struct(*[v.cast("long").alias(k) for k, v in counted.items()])))
+    return found.select(*[docs[c] for c in docs.columns if c not in counted], one)
 
 
 def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:

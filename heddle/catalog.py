@@ -15,7 +15,7 @@ from heddle.streaming import events
 FLAGSHIP = "p2_error_list"
 
 #: Fixed values.
-HEALTHY = "Server is up and running!"
+HEALTHY = "heddle is running"
 ROLES = ("user", "assistant")
 VARIANTS = {"view": "outline", "click": "ghost", "purchase": "default", "error": "destructive"}
 

@@ -25,9 +25,9 @@ _UNSURE = re.compile("[\x1c-\x1f]")
 
 
 class Encoder:
-    """Encodes batches of texts; ``limit`` bounds how many cuttings a worker remembers."""
+    """Encodes batches of texts. A worker remembers up to ``limit`` cuttings, and as many that it met before those."""
 
-    def __init__(self, name: str, limit: int = 600_000):
+    def __init__(self, name: str, limit: int = 500_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -35,6 +35,7 @@ class Encoder:
         self.cut = (_DROPPING if self.whole.normalizer is not None else _KEEPING).findall
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.limit = limit
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -50,11 +51,13 @@ class Encoder:
         for at in range(0, len(texts), 64):
             part = texts[at : at + 64]
             cut = [self.cut(t) if self._sure(t) else None for t in part]
+            missing = {w for ws in cut if ws for w in ws if w not in self.known}
+            if len(self.known) + len(missing) > self.limit:
+                self.before, self.known = self.known, {}
+                missing = {w for ws in cut if ws for w in ws}
             known = self.known
-            new = list({w for ws in cut if ws for w in ws if w not in known})
-            if len(known) + len(new) > self.limit:
-                known.clear()
-                new = list({w for ws in cut if ws for w in ws})
+            known.update((w, self.before[w]) for w in missing if w in self.before)
+            new = [w for w in missing if w not in known]
             known.update(zip(new, self._encode(new), strict=True))
             out += [
                 self._encode([t])[0] if ws is None else b"".join(map(known.__getitem__, ws))

@@ -13,6 +13,12 @@ fingerprints becomes many pairs of small ones. Each remaining pair is one unit o
 rows, walked to its end in one task; there, pairs of nodes that are already one component are
 skipped and only the links that join components are put out. Components then settle across units.
 
+``keep_one`` judges likeness, not digits of one fingerprint: at a Jaccard similarity of 0.8 two texts differ in
+10 of 64 digits on average, and a budget that wide prunes nothing. It takes ``WORDS`` fingerprints side by side,
+each from the shingle hashes mixed anew. Two texts link if some fifth of some word is equal, that word differs
+in at most ``WORD_BUDGET`` digits and all words together in at most ``WIDE_BUDGET``. There is one trie per word
+and fifth, joined as above. At a similarity of 0.8 that finds 94 of 100 pairs, at 0.85 nearly all.
+
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows, equal
 ids and null ids are documents of their own (a component without any id has a null one); an empty table
 gives no rows; other columns are dropped.
@@ -32,24 +38,34 @@ BITS = 64
 SHINGLE = 4
 BUDGET = 4
 LEAF = 2048
+#: Likeness of 0.8 in word shingles: fingerprints side by side, differing digits in one and in all of them.
+WORDS = 6
+WORD_BUDGET = 20
+WIDE_BUDGET = 70
+WIDE_LEAF = 4096
 #: Digits by which the walk in Spark goes down at once.
 STEP = 3
 
 
-def fingerprint(text: str, shingle: int = SHINGLE) -> int:
-    """The fingerprint of one text; no words: zero."""
+def shingle_hashes(text: str, shingle: int) -> np.ndarray:
+    """XXH64 (u64) of each word shingle, repeats included."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
     words = text.encode().lower().split()  # bytes: lower-cases A-Z, splits at ASCII white space
     if not words:
-        return 0
+        return np.zeros(0, "u8")
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), "i8", len(words)) + 1)
     starts = np.concatenate([[0], ends[:-1]])
     k = min(shingle, len(words))
     spans = zip(starts[: len(words) - k + 1].tolist(), (ends[k - 1 :] - 1).tolist(), strict=True)
-    hashes = np.array([digest(joined[a:b], 42) for a, b in spans], "<u8")
+    return np.array([digest(joined[a:b], 42) for a, b in spans], "<u8")
+
+
+def fingerprint(text: str, shingle: int = SHINGLE) -> int:
+    """The fingerprint of one text; no words: zero."""
+    hashes = shingle_hashes(text, shingle)
     counts = np.zeros(BITS, "i8")
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].view("u1").reshape(-1, 8)
@@ -57,6 +73,33 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def wide_fingerprint(text: str, shingle: int, words: int = WORDS) -> bytes:
+    """``words`` fingerprints in a row, 8 bytes each, from independent mixes of the shingle hashes; no words: zeros."""
+    hashes = shingle_hashes(text, shingle)
+    counts = np.zeros(BITS * words, "i8")
+    for at in range(0, len(hashes), 255 * 16):
+        mixed = hashes[at : at + 255 * 16, None] + np.arange(words, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+        mixed ^= mixed >> np.uint64(31)
+        bits = np.unpackbits(mixed.view("u1"), axis=1, bitorder="little")
+        for part in range(0, len(bits), 255):  # up to 255 ones fit a byte
+            counts += bits[part : part + 255].sum(0, dtype="u1")
+    return np.packbits(2 * counts > len(hashes), bitorder="little").tobytes()
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int, words: int = WORDS, text_col: str = "text") -> DataFrame:
+    """``doc_id, wide``."""
+
+    def run(batches):
+        for batch in batches:
+            found = [wide_fingerprint(t, shingle, words) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], names=["doc_id", "wide"])
+
+    named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
+    return named.mapInArrow(run, "doc_id long, wide binary")
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text") -> DataFrame:
     """``doc_id, fp``: the fingerprint's digits as a signed long."""
 
@@ -86,11 +129,24 @@ def _top(key: Column, depth: Column | int) -> Column:
     return F.call_function("shiftrightunsigned", key, (F.lit(BITS) - depth).cast("int"))
 
 
-def units(fps: DataFrame, budget: int, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """Tries' leaves (``trie, key, fp``) and the node pairs that remain (``trie, depth, a, b, differ``)."""
-    parts = stretches(budget)
-    tries = F.array(*[F.struct(F.lit(t).alias("trie"), _rotated(F.col("fp"), a).alias("key"), F.lit(n).alias("top")) for t, (a, n) in enumerate(parts)])
-    leaves = settle(fps.select("fp", F.explode(tries).alias("x")).select("fp", "x.*"))
+def tries(fps: DataFrame, budget: int) -> DataFrame:
+    """``trie, key, top, id`` of each fingerprint in each trie; ``top`` digits of the key are the trie's stretch."""
+    cut = [F.struct(F.lit(t).alias("trie"), _rotated(F.col("fp"), a).alias("key"), F.lit(n).alias("top")) for t, (a, n) in enumerate(stretches(budget))]
+    return settle(fps.select(F.col("fp").alias("id"), F.explode(F.array(*cut)).alias("x")).select("x.*", "id"))
+
+
+def wide_tries(classes: DataFrame, words: int = WORDS) -> DataFrame:
+    """``trie, key, top, id, wide``: a trie for each fifth of each word."""
+    cut = []
+    for w in range(words):
+        word = F.conv(F.hex(F.substring("wide", 8 * w + 1, 8)), 16, -10).cast("long")  # any fixed order of digits will do
+        for a, n in stretches(4):
+            cut.append(F.struct(F.lit(len(cut)).alias("trie"), _rotated(word, a).alias("key"), F.lit(n).alias("top")))
+    return classes.select("id", "wide", F.explode(F.array(*cut)).alias("x")).select("x.*", "id", "wide")
+
+
+def units(leaves: DataFrame, budget: int, leaf: int) -> DataFrame:
+    """The node pairs that remain (``trie, depth, a, b, differ``), each of at most ``2 * leaf`` leaves."""
     tops = leaves.groupBy("trie", F.col("top").alias("depth"), _top(F.col("key"), F.col("top")).alias("a")).agg(F.count("*").alias("n"))
     tops = settle(tops.filter("n > 1"))
     done = [tops.filter(F.col("n") <= leaf).select("trie", "depth", "a", F.col("a").alias("b"), F.lit(0).alias("differ"))]
@@ -123,13 +179,22 @@ def units(fps: DataFrame, budget: int, leaf: int) -> tuple[DataFrame, DataFrame]
     pairs = done[0]
     for more in done[1:]:
         pairs = pairs.union(more)
-    return leaves, settle(pairs)
-
-
-def walk(keys_a: np.ndarray, keys_b: np.ndarray | None, depth: int, differ: int, budget: int) -> np.ndarray:
+    return settle(pairs)
+
+
+def walk(
+    keys_a: np.ndarray,
+    keys_b: np.ndarray | None,
+    depth: int,
+    differ: int,
+    budget: int,
+    wide: np.ndarray | None = None,
+    wide_budget: int = WIDE_BUDGET,
+) -> np.ndarray:
     """Walks a pair of nodes to the end; which row each row was joined to (rows of ``a``, then of ``b``).
 
-    Keys (u64) are sorted; ``keys_b`` is None where a node is paired with itself.
+    Keys (u64) are sorted; ``keys_b`` is None where a node is paired with itself. Rows of ``wide`` (u64) in
+    the order of all keys, if given, must agree within ``wide_budget`` too.
     """
     keys = keys_a if keys_b is None else np.concatenate([keys_a, keys_b])
     n, m = len(keys_a), len(keys)
@@ -157,6 +222,10 @@ def walk(keys_a: np.ndarray, keys_b: np.ndarray | None, depth: int, differ: int,
             near = np.bitwise_count(keys[a0:a1, None] ^ keys[None, b0:b1]) <= budget
             if a0 == b0:
                 np.fill_diagonal(near, False)
+            if wide is not None and near.any():
+                i, j = np.nonzero(near)
+                apart = np.bitwise_count(wide[a0 + i] ^ wide[b0 + j]).sum(1, dtype="i8")
+                near[i, j] = apart <= wide_budget
             rows = np.flatnonzero(near.any(1))
             if near.sum() <= 4 * sum(near.shape):
                 for i, j in zip(*np.nonzero(near), strict=True):
@@ -186,30 +255,29 @@ def walk(keys_a: np.ndarray, keys_b: np.ndarray | None, depth: int, differ: int,
     return label
 
 
-def links(fps: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFrame:
-    """Links ``u, v`` between distinct fingerprints that have the components of all pairs within ``budget``."""
-    leaves, pairs = units(fps, budget, leaf)
-    unit = F.struct("trie", "depth", "a", "b", "differ")
+def links(leaves: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFrame:
+    """Links ``u, v`` (ids) between distinct ``leaves`` that have the components of all pairs within ``budget``."""
+    pairs = units(leaves, budget, leaf)
+    also = ["wide"] if "wide" in leaves.columns else []
     one = pairs.withColumn("unit", F.xxhash64("trie", "depth", "a", "b"))
     ends = one.select("trie", "depth", F.col("a").alias("node"), "unit", "differ", F.lit(0).alias("side"), (F.col("a") == F.col("b")).alias("alone")).union(
         one.filter("a <> b").select("trie", "depth", "b", "unit", "differ", F.lit(1), F.lit(False))
     )
     depths = sorted(r[0] for r in pairs.select("depth").distinct().collect())  # a few numbers up to 64
-    each = leaves.select("trie", "key", "fp", F.explode(F.array(*map(F.lit, depths)) if depths else F.array().cast("array<int>")).alias("depth"))
+    deep = F.explode(F.array(*map(F.lit, depths)) if depths else F.array().cast("array<int>")).alias("depth")
+    each = leaves.select("trie", "key", "top", "id", *also, deep).filter("depth >= top")
     dealt = each.withColumn("node", _top(F.col("key"), F.col("depth"))).join(ends, ["trie", "depth", "node"])
-    rows = dealt.select("unit", "trie", "depth", "side", "alone", "differ", "fp", "key")
-    del unit
+    rows = dealt.select("unit", "trie", "depth", "side", "alone", "differ", "id", "key", *also)
 
     def run(batches):
         def solve(part):
             trie_sort = np.argsort(part["key"].view("u8"), kind="stable")
-            key, fp, side = part["key"].view("u8")[trie_sort], part["fp"][trie_sort], part["side"][trie_sort]
             depth, differ = int(part["depth"][0]), int(part["differ"][0])
-            if part["alone"][0]:
-                label, order = walk(key, None, depth, differ, budget), fp
-            else:
-                a, b = side == 0, side == 1
-                label, order = walk(key[a], key[b], depth, differ, budget), np.concatenate([fp[a], fp[b]])
+            if not part["alone"][0]:  # first the rows of one side, then those of the other
+                trie_sort = trie_sort[np.argsort(part["side"][trie_sort], kind="stable")]
+            key, order, wide = part["key"].view("u8")[trie_sort], part["id"][trie_sort], part["wide"][trie_sort] if also else None
+            n = len(key) if part["alone"][0] else int((part["side"] == 0).sum())
+            label = walk(key[:n], None if part["alone"][0] else key[n:], depth, differ, budget, wide)
             moved = np.flatnonzero(label != np.arange(len(label)))
             return order[moved], order[label[moved]]
 
@@ -217,17 +285,19 @@ def links(fps: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFrame:
             u, v = (np.concatenate(x) for x in zip(*found, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-        names, held, found, size = ["unit", "trie", "depth", "side", "alone", "differ", "fp", "key"], None, [], 0
+        names, held, found, size = ["unit", "trie", "depth", "side", "alone", "differ", "id", "key"], None, [], 0
         for batch in batches:
             now = {k: batch[k].to_numpy(zero_copy_only=False) for k in names}
+            if also:
+                now["wide"] = np.frombuffer(b"".join(batch["wide"].to_pylist()), "<u8").reshape(len(batch), -1)
             if held is not None:
-                now = {k: np.concatenate([held[k], now[k]]) for k in names}
+                now = {k: np.concatenate([held[k], now[k]]) for k in now}
             cuts = np.concatenate([[0], np.flatnonzero((np.diff(now["unit"]) != 0) | (np.diff(now["trie"]) != 0)) + 1])
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 if b - a > 1:
-                    found.append(solve({k: now[k][a:b] for k in names}))
+                    found.append(solve({k: v[a:b] for k, v in now.items()}))
                     size += len(found[-1][0])
-            held = {k: now[k][cuts[-1] :] for k in names}
+            held = {k: v[cuts[-1] :] for k, v in now.items()}
             if size > 50_000:
                 yield put(found)
                 found, size = [], 0
@@ -246,7 +316,7 @@ def near_duplicates(
     """``doc_id, fp, component_id`` for each row of ``docs``."""
     prints = settle(fingerprints(docs, shingle, text_col))
     classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(classes.select("fp"), budget, leaf))
+    roots = components(links(tries(classes.select("fp"), budget), budget, leaf))
     rooted = settle(classes.join(roots, classes["fp"] == roots["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
@@ -258,8 +328,22 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int, budget: int = BUDGET, text_col: str = "text") -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int, leaf: int = WIDE_LEAF, text_col: str = "text") -> DataFrame:
+    """``doc_id, component_id`` for each row of ``docs``, by likeness (see above).
+
+    Classes of equal wide fingerprints go by a 64-bit hash of those.
+    """
+    prints = settle(wide_fingerprints(docs, shingle, text_col=text_col).withColumn("id", F.xxhash64("wide")))
+    classes = settle(prints.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("wide").alias("wide")))
+    roots = components(links(wide_tries(classes.select("id", "wide")), WORD_BUDGET, leaf))
+    rooted = settle(classes.join(roots, classes["id"] == roots["u"], "left").select("id", "least", F.coalesce("root", "id").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.join(least, "root").select("id", "component_id")
+    return prints.join(named, "id").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int, text_col: str = "text") -> DataFrame:
     """``docs`` with one document (that of the least id) of each group of near-duplicates."""
-    found = near_duplicates(docs, shingle, budget, text_col=text_col)
+    found = near_copies(docs, shingle, text_col=text_col)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc")).distinct()
     return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")), "left_semi")

@@ -157,7 +157,7 @@ def test_trie_join_matches_brute_force(spark, leaf):
         made.add(c)
     fps = np.array(sorted(made), "u8").view("i8")
     df = spark.createDataFrame([(int(x),) for x in fps], "fp long")
-    root = {r.u: r.root for r in components.components(simhash.links(df, 4, leaf)).collect()}
+    root = {r.u: r.root for r in components.components(simhash.links(simhash.tries(df, 4), 4, leaf)).collect()}
     label = np.arange(len(fps))
     for i in range(len(fps)):
         for j in np.flatnonzero(np.bitwise_count(fps.view("u8") ^ fps.view("u8")[i]) <= 4):
@@ -330,3 +330,43 @@ def test_pipeline_stages(spark):
         sizes.append(docs.count())
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] == sizes[-2] > 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == sizes[-1]
+
+
+@pytest.mark.parametrize("leaf", [8, simhash.WIDE_LEAF])
+def test_likeness_keeps_one_of_each_group(spark, leaf):
+    rng = np.random.default_rng(7)
+    word = lambda: f"w{rng.integers(30_000)}"
+    texts = []
+    for _ in range(60):
+        text = [word() for _ in range(int(rng.integers(60, 400)))]
+        texts.append(text)
+        for changes in (0, 1, len(text) // 60, len(text) // 8):  # up to a sixtieth: alike; an eighth: not
+            other = list(text)
+            for at in rng.integers(0, len(text), changes):
+                other[at] = word()
+            texts.append(other)
+    texts += [["same", "few", "words"]] * 3 + [[]] * 2
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    wide = np.array([np.frombuffer(simhash.wide_fingerprint(t, 5), "<u8") for _, t in rows])
+    apart = np.bitwise_count(wide[:, None] ^ wide[None])
+    words = apart <= simhash.WORD_BUDGET
+    rotations = [np.uint64((1 << n) - 1) << np.uint64(64 - a - n) for a, n in simhash.stretches(4)]
+    stored = wide.byteswap()  # the stretches are cut from the stored bytes in a row
+    agree = np.any([(stored[:, None] ^ stored[None]) & m == 0 for m in rotations], axis=0)
+    near = (words & agree).any(2) & (apart.sum(2, dtype="i8") <= simhash.WIDE_BUDGET)
+    root = np.arange(len(rows))
+    while True:
+        least = np.where(near, root[None], len(rows)).min(1)
+        if (least == root).all():
+            break
+        root = least
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(df, 5, leaf).collect()}
+    assert found == dict(enumerate(root.tolist()))
+    for at in range(0, 300, 5):
+        assert found[at] == found[at + 1] == found[at + 2] == at
+        assert found[at + 4] == at + 4
+    missed = sum(found[at + 3] != at for at in range(0, 300, 5))
+    assert missed <= 6
+    kept = {r.doc_id for r in simhash.keep_one(df, 5).collect()}
+    assert kept == set(root.tolist())

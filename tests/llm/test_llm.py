@@ -370,3 +370,12 @@ def test_likeness_keeps_one_of_each_group(spark, leaf):
     assert missed <= 6
     kept = {r.doc_id for r in simhash.keep_one(df, 5).collect()}
     assert kept == set(root.tolist())
+
+
+def test_likeness_of_odd_rows(spark, odd, empty):
+    found = sorted(((r.doc_id, r.component_id) for r in simhash.near_copies(odd, 5).collect()), key=repr)
+    assert found == [(-9, -9), (1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (5, 4), (None, None), (None, None)]
+    kept = simhash.keep_one(odd, 5)
+    assert kept.columns == odd.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == [-9, 1, 3, 4, None, None]
+    assert simhash.keep_one(empty, 5).count() == 0

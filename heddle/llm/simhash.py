@@ -15,10 +15,13 @@ skipped and only the links that join components are put out. Components then set
 
 ``keep_one`` judges likeness, not digits of one fingerprint: at a Jaccard similarity of 0.8 two texts differ in
 10 of 64 digits on average, and a budget that wide prunes nothing. It takes ``WORDS`` fingerprints side by side,
-each from the shingle hashes mixed anew. Two texts link if some fifth of some word is equal, that word differs
-in at most ``WORD_BUDGET`` digits and all words together in at most ``WIDE_BUDGET``. There is one trie per word
-and fifth, joined as above. By calculation that finds 94 of 100 pairs at a
-similarity of 0.8, nearly all at 0.85, and about a third of those at 0.7 as well.
+each from the shingle hashes mixed anew. Two texts are candidates if some fifth of some word is equal, that word
+differs in at most ``WORD_BUDGET`` digits and all words together in at most ``WIDE_BUDGET``. There is one trie per
+word and fifth, joined as above. Each link that the walk puts out is a pair of candidates, and links only if the
+sets of the two texts' shingles have a Jaccard similarity of ``LIKENESS`` or more. A walk joins rows by links not yet
+judged and skips pairs that hang together already, so a link that fails may have hidden others. Each such link has
+a failed one at the edge of the group of either end: all groups with a failed link are walked again, from the groups
+found so far and without the pairs that failed, until a walk finds nothing new.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows, equal
 ids and null ids are documents of their own (a component without any id has a null one); an empty table
@@ -44,6 +47,8 @@ WORDS = 6
 WORD_BUDGET = 20
 WIDE_BUDGET = 70
 WIDE_LEAF = 4096
+#: Jaccard similarity of the shingle sets from which two texts are near-duplicates.
+LIKENESS = 0.8
 #: Digits by which the walk in Spark goes down at once.
 STEP = 3
 
@@ -90,15 +95,16 @@ def wide_fingerprint(text: str, shingle: int, words: int = WORDS) -> bytes:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int, words: int = WORDS, text_col: str = "text") -> DataFrame:
-    """``doc_id, wide``."""
+    """``doc_id, wide, text``; a null text is empty."""
 
     def run(batches):
         for batch in batches:
             found = [wide_fingerprint(t, shingle, words) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.binary())], names=["doc_id", "wide"])
+            columns = [batch["doc_id"], pa.array(found, pa.binary()), batch["text"]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "wide", "text"])
 
     named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    return named.mapInArrow(run, "doc_id long, wide binary")
+    return named.mapInArrow(run, "doc_id long, wide binary, text string")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text") -> DataFrame:
@@ -137,13 +143,13 @@ def tries(fps: DataFrame, budget: int) -> DataFrame:
 
 
 def wide_tries(classes: DataFrame, words: int = WORDS) -> DataFrame:
-    """``trie, key, top, id, wide``: a trie for each fifth of each word."""
+    """``trie, key, top`` and the columns of ``classes``: a trie for each fifth of each word."""
     cut = []
     for w in range(words):
         word = F.conv(F.hex(F.substring("wide", 8 * w + 1, 8)), 16, -10).cast("long")  # any fixed order of digits will do
         for a, n in stretches(4):
             cut.append(F.struct(F.lit(len(cut)).alias("trie"), _rotated(word, a).alias("key"), F.lit(n).alias("top")))
-    return classes.select("id", "wide", F.explode(F.array(*cut)).alias("x")).select("x.*", "id", "wide")
+    return classes.select(*classes.columns, F.explode(F.array(*cut)).alias("x")).select("x.*", *classes.columns)
 
 
 def units(leaves: DataFrame, budget: int, leaf: int) -> DataFrame:
@@ -191,20 +197,28 @@ def walk(
     budget: int,
     wide: np.ndarray | None = None,
     wide_budget: int = WIDE_BUDGET,
+    group: np.ndarray | None = None,
+    barred: frozenset[tuple[int, int]] = frozenset(),
 ) -> np.ndarray:
-    """Walks a pair of nodes to the end; which row each row was joined to (rows of ``a``, then of ``b``).
+    """Walks a pair of nodes to the end; the pairs of rows (of ``a``, then of ``b``) whose links join rows.
 
     Keys (u64) are sorted; ``keys_b`` is None where a node is paired with itself. Rows of ``wide`` (u64) in
-    the order of all keys, if given, must agree within ``wide_budget`` too.
+    the order of all keys, if given, must agree within ``wide_budget`` too. Rows of one ``group`` are joined from the
+    start, and ``barred`` pairs (each both ways round) are not linked.
     """
     keys = keys_a if keys_b is None else np.concatenate([keys_a, keys_b])
     n, m = len(keys_a), len(keys)
     label = np.arange(m)
+    if group is not None:
+        _, first, place = np.unique(group, return_index=True, return_inverse=True)
+        label = first[place]
+    pairs = []
 
     def join(i: int, j: int) -> None:
         if label[i] != label[j]:
             low, high = sorted((label[i], label[j]))
             label[label == high] = low
+            pairs.append((i, j))
 
     def split(lo: int, hi: int, at: int) -> int:
         bit = np.uint64(1 << (BITS - 1 - at))
@@ -227,39 +241,46 @@ def walk(
                 i, j = np.nonzero(near)
                 apart = np.bitwise_count(wide[a0 + i] ^ wide[b0 + j]).sum(1, dtype="i8")
                 near[i, j] = apart <= wide_budget
+            for i, j in barred:
+                if a0 <= i < a1 and b0 <= j < b1:
+                    near[i - a0, j - b0] = False
             rows = np.flatnonzero(near.any(1))
             if near.sum() <= 4 * sum(near.shape):
                 for i, j in zip(*np.nonzero(near), strict=True):
                     join(a0 + i, b0 + j)
                 continue
-            while len(rows):  # a part of the block that hangs together, as a whole
-                held = np.zeros(near.shape[0], bool)
-                held[rows[0]] = True
-                while True:
-                    across = near[held].any(0)
-                    more = near[:, across].any(1)
-                    if (more <= held).all():
+            while len(rows):  # a part of the block that hangs together, from row to columns to rows
+                held, across, new = np.zeros(near.shape[0], bool), np.zeros(near.shape[1], bool), rows[:1]
+                held[new] = True
+                while len(new):
+                    cols = np.flatnonzero(near[new].any(0) & ~across)
+                    if not len(cols):
                         break
-                    held |= more
-                for i in np.flatnonzero(held):
-                    join(a0 + rows[0], a0 + i)
-                for j in np.flatnonzero(across):
-                    join(a0 + rows[0], b0 + j)
+                    for j, i in zip(cols, new[near[np.ix_(new, cols)].argmax(0)], strict=True):
+                        join(a0 + i, b0 + j)
+                    across[cols] = True
+                    new = np.flatnonzero(near[:, cols].any(1) & ~held)
+                    for i, j in zip(new, cols[near[np.ix_(new, cols)].argmax(1)], strict=True):
+                        join(a0 + i, b0 + j)
+                    held[new] = True
                 rows = rows[~held[rows]]
             continue
         ac = split(a0, a1, at)
         bc = ac if a0 == b0 else split(b0, b1, at)
-        pairs = [(a0, ac, b0, bc, 0), (ac, a1, bc, b1, 0), (a0, ac, bc, b1, 1)]
+        below = [(a0, ac, b0, bc, 0), (ac, a1, bc, b1, 0), (a0, ac, bc, b1, 1)]
         if a0 != b0:
-            pairs.append((ac, a1, b0, bc, 1))
-        todo += [(p, q, r, s, at + 1, bad + x) for p, q, r, s, x in pairs if p < q and r < s and bad + x <= budget]
-    return label
+            below.append((ac, a1, b0, bc, 1))
+        todo += [(p, q, r, s, at + 1, bad + x) for p, q, r, s, x in below if p < q and r < s and bad + x <= budget]
+    return np.array(pairs, "i8").reshape(-1, 2)
 
 
 def links(leaves: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFrame:
-    """Links ``u, v`` (ids) between distinct ``leaves`` that have the components of all pairs within ``budget``."""
+    """Links ``u, v`` (ids) between distinct ``leaves``, each within ``budget``, with the components of all such pairs.
+
+    Leaves of one ``root``, if they have that column, hang together already; those in each other's ``barred`` don't link.
+    """
     pairs = units(leaves, budget, leaf)
-    also = ["wide"] if "wide" in leaves.columns else []
+    also = [c for c in ("wide", "root", "barred") if c in leaves.columns]
     one = pairs.withColumn("unit", F.xxhash64("trie", "depth", "a", "b"))
     ends = one.select("trie", "depth", F.col("a").alias("node"), "unit", "differ", F.lit(0).alias("side"), (F.col("a") == F.col("b")).alias("alone")).union(
         one.filter("a <> b").select("trie", "depth", "b", "unit", "differ", F.lit(1), F.lit(False))
@@ -276,11 +297,16 @@ def links(leaves: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFram
             depth, differ = int(part["depth"][0]), int(part["differ"][0])
             if not part["alone"][0]:  # first the rows of one side, then those of the other
                 trie_sort = trie_sort[np.argsort(part["side"][trie_sort], kind="stable")]
-            key, order, wide = part["key"].view("u8")[trie_sort], part["id"][trie_sort], part["wide"][trie_sort] if also else None
+            key, order = part["key"].view("u8")[trie_sort], part["id"][trie_sort]
+            wide, group, apart = (part[c][trie_sort] if c in part else None for c in ("wide", "root", "barred"))
+            barred = set()
+            if apart is not None:
+                place = {x: i for i, x in enumerate(order.tolist())}
+                found = {(i, place[x]) for i, them in enumerate(apart) for x in them if x in place}
+                barred = found | {(j, i) for i, j in found}
             n = len(key) if part["alone"][0] else int((part["side"] == 0).sum())
-            label = walk(key[:n], None if part["alone"][0] else key[n:], depth, differ, budget, wide)
-            moved = np.flatnonzero(label != np.arange(len(label)))
-            return order[moved], order[label[moved]]
+            joined = walk(key[:n], None if part["alone"][0] else key[n:], depth, differ, budget, wide, group=group, barred=frozenset(barred))
+            return order[joined[:, 0]], order[joined[:, 1]]
 
         def put(found):
             u, v = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -289,7 +315,11 @@ def links(leaves: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFram
         names, held, found, size = ["unit", "trie", "depth", "side", "alone", "differ", "id", "key"], None, [], 0
         for batch in batches:
             now = {k: batch[k].to_numpy(zero_copy_only=False) for k in names}
-            if also:
+            if "root" in also:
+                now["root"] = batch["root"].to_numpy()
+                now["barred"] = np.empty(len(batch), object)
+                now["barred"][:] = batch["barred"].to_pylist()
+            if "wide" in also:
                 now["wide"] = np.frombuffer(b"".join(batch["wide"].to_pylist()), "<u8").reshape(len(batch), -1)
             if held is not None:
                 now = {k: np.concatenate([held[k], now[k]]) for k in now}
@@ -329,18 +359,73 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, shingle: int, leaf: int = WIDE_LEAF, text_col: str = "text") -> DataFrame:
+def shingle_set(text: str, shingle: int) -> np.ndarray:
+    """The different shingle hashes of a text, sorted."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def alike(links: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """``u, v, ok`` for each link: whether the Jaccard similarity of the shingle sets of ``texts`` (``id, text``) is ``least``."""
+
+    def run(batches):
+        known, one = None, None
+        for batch in batches:
+            ok = []
+            for u, a, b in zip(batch["u"].to_pylist(), batch["a"].to_pylist(), batch["b"].to_pylist(), strict=True):
+                if u != known:
+                    known, one = u, shingle_set(a, shingle)
+                other = shingle_set(b, shingle)
+                both = len(np.intersect1d(one, other, assume_unique=True))
+                ok.append(both >= least * (len(one) + len(other) - both))
+            yield pa.RecordBatch.from_arrays([batch["u"], batch["v"], pa.array(ok, pa.bool_())], names=["u", "v", "ok"])
+
+    ends = texts.select(F.col("id").alias("v"), F.col("text").alias("b"))
+    both = links.join(ends, "v").join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, ok boolean")
+
+
+def alike_roots(prints: DataFrame, classes: DataFrame, shingle: int, leaf: int, likeness: float) -> DataFrame:
+    """``u, root`` for each class that is linked to one of a lower id by verified links (see above)."""
+    spark = classes.sparkSession
+    near = spark.createDataFrame([], "u long, v long")
+    apart, roots, walked = near, near.withColumnRenamed("v", "root"), classes.select("id", "wide")
+    while True:
+        found = settle(links(wide_tries(walked), WORD_BUDGET, leaf).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        if found.isEmpty():
+            return roots
+        ends = found.select(F.col("u").alias("id")).union(found.select("v")).distinct()
+        chosen = ends.join(classes, "id").select("id", F.col("row").alias("_row"))
+        texts = settle(prints.select("row", "text").join(chosen, F.col("row") == F.col("_row")).select("id", "text"))
+        judged = settle(alike(found, texts, shingle, likeness))
+        near = near.union(judged.filter("ok").select("u", "v"))
+        failed = judged.filter("NOT ok").select("u", "v")
+        roots = components(near)
+        apart = apart.union(failed)
+        if failed.isEmpty():
+            return roots
+        named = settle(classes.select("id", "wide").join(roots, F.col("id") == F.col("u"), "left").select("id", "wide", F.coalesce("root", "id").alias("root")))
+        edge = failed.select(F.col("u").alias("id")).union(failed.select("v"))
+        open_ = named.select("id", "root").join(edge, "id", "left_semi").select("root").distinct()
+        shut = apart.groupBy(F.col("u").alias("id")).agg(F.collect_set("v").alias("barred"))
+        again = named.join(open_, "root", "left_semi").join(shut, "id", "left")
+        walked = settle(again.select("id", "wide", "root", F.coalesce("barred", F.array().cast("array<long>")).alias("barred")))
+
+
+def near_copies(
+    docs: DataFrame, shingle: int, leaf: int = WIDE_LEAF, text_col: str = "text", likeness: float = LIKENESS
+) -> DataFrame:
     """``doc_id, component_id`` for each row of ``docs``, by likeness (see above).
 
-    Classes of equal wide fingerprints go by a 64-bit hash of those.
+    Classes of equal wide fingerprints (they go by a 64-bit hash of those) are not compared again; of each, one text is.
     """
-    prints = settle(wide_fingerprints(docs, shingle, text_col=text_col).withColumn("id", F.xxhash64("wide")))
-    classes = settle(prints.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("wide").alias("wide")))
-    roots = components(links(wide_tries(classes.select("id", "wide")), WORD_BUDGET, leaf))
+    prints = settle(wide_fingerprints(docs, shingle, text_col=text_col).withColumns({"id": F.xxhash64("wide"), "row": F.monotonically_increasing_id()}))
+    one = F.min("row").alias("row")
+    classes = settle(prints.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("wide").alias("wide"), one))
+    roots = alike_roots(prints, classes, shingle, leaf, likeness)
     rooted = settle(classes.join(roots, classes["id"] == roots["u"], "left").select("id", "least", F.coalesce("root", "id").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("id", "component_id")
-    return prints.join(named, "id").select("doc_id", "component_id")
+    return prints.select("doc_id", "id").join(named, "id").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int, text_col: str = "text") -> DataFrame:

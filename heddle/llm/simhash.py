@@ -49,6 +49,8 @@ WIDE_BUDGET = 70
 WIDE_LEAF = 4096
 #: Jaccard similarity of the shingle sets from which two texts are near-duplicates.
 LIKENESS = 0.8
+#: Pairs for each row of a unit that a second or later walk puts out before it joins rows by them, so that few walks do.
+SPARE = 4
 #: Digits by which the walk in Spark goes down at once.
 STEP = 3
 
@@ -199,12 +201,13 @@ def walk(
     wide_budget: int = WIDE_BUDGET,
     group: np.ndarray | None = None,
     barred: frozenset[tuple[int, int]] = frozenset(),
+    spare: int = 0,
 ) -> np.ndarray:
     """Walks a pair of nodes to the end; the pairs of rows (of ``a``, then of ``b``) whose links join rows.
 
     Keys (u64) are sorted; ``keys_b`` is None where a node is paired with itself. Rows of ``wide`` (u64) in
     the order of all keys, if given, must agree within ``wide_budget`` too. Rows of one ``group`` are joined from the
-    start, and ``barred`` pairs (each both ways round) are not linked.
+    start, and ``barred`` pairs (each both ways round) are not linked. The first ``spare`` pairs are put out without joining rows.
     """
     keys = keys_a if keys_b is None else np.concatenate([keys_a, keys_b])
     n, m = len(keys_a), len(keys)
@@ -216,9 +219,10 @@ def walk(
 
     def join(i: int, j: int) -> None:
         if label[i] != label[j]:
-            low, high = sorted((label[i], label[j]))
-            label[label == high] = low
             pairs.append((i, j))
+            if len(pairs) > spare:
+                low, high = sorted((label[i], label[j]))
+                label[label == high] = low
 
     def split(lo: int, hi: int, at: int) -> int:
         bit = np.uint64(1 << (BITS - 1 - at))
@@ -244,8 +248,12 @@ def walk(
             for i, j in barred:
                 if a0 <= i < a1 and b0 <= j < b1:
                     near[i - a0, j - b0] = False
+            if len(pairs) < spare:
+                near &= label[a0:a1, None] != label[None, b0:b1]
+                if a0 == b0:
+                    near = np.triu(near)
             rows = np.flatnonzero(near.any(1))
-            if near.sum() <= 4 * sum(near.shape):
+            if near.sum() <= max(4 * sum(near.shape), spare - len(pairs)):
                 for i, j in zip(*np.nonzero(near), strict=True):
                     join(a0 + i, b0 + j)
                 continue
@@ -305,7 +313,7 @@ def links(leaves: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFram
                 found = {(i, place[x]) for i, them in enumerate(apart) for x in them if x in place}
                 barred = found | {(j, i) for i, j in found}
             n = len(key) if part["alone"][0] else int((part["side"] == 0).sum())
-            joined = walk(key[:n], None if part["alone"][0] else key[n:], depth, differ, budget, wide, group=group, barred=frozenset(barred))
+            joined = walk(key[:n], None if part["alone"][0] else key[n:], depth, differ, budget, wide, group=group, barred=frozenset(barred), spare=SPARE * len(key) if "root" in part else 0)
             return order[joined[:, 0]], order[joined[:, 1]]
 
         def put(found):

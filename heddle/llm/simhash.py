@@ -97,16 +97,20 @@ def wide_fingerprint(text: str, shingle: int, words: int = WORDS) -> bytes:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int, words: int = WORDS, text_col: str = "text") -> DataFrame:
-    """``doc_id, wide, text``; a null text is empty."""
+    """``doc_id, id, wide, text``, the ``id`` a 64-bit hash of the set of shingles; a null text is empty."""
 
     def run(batches):
+        import xxhash
+
         for batch in batches:
-            found = [wide_fingerprint(t, shingle, words) for t in batch["text"].to_pylist()]
-            columns = [batch["doc_id"], pa.array(found, pa.binary()), batch["text"]]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "wide", "text"])
+            texts = batch["text"].to_pylist()
+            found = [wide_fingerprint(t, shingle, words) for t in texts]
+            ids = np.array([xxhash.xxh3_64_intdigest(shingle_set(t, shingle).tobytes()) for t in texts], "u8").view("i8")
+            columns = [batch["doc_id"], pa.array(ids), pa.array(found, pa.binary()), batch["text"]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "id", "wide", "text"])
 
     named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    return named.mapInArrow(run, "doc_id long, wide binary, text string")
+    return named.mapInArrow(run, "doc_id long, id long, wide binary, text string")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text") -> DataFrame:
@@ -424,9 +428,10 @@ def near_copies(
 ) -> DataFrame:
     """``doc_id, component_id`` for each row of ``docs``, by likeness (see above).
 
-    Classes of equal wide fingerprints (they go by a 64-bit hash of those) are not compared again; of each, one text is.
+    Texts of one set of shingles (they go by a 64-bit hash of it) have the same Jaccard similarity to all others, so one of
+    them is compared. Texts that only have the same wide fingerprint are compared like any other candidates.
     """
-    prints = settle(wide_fingerprints(docs, shingle, text_col=text_col).withColumns({"id": F.xxhash64("wide"), "row": F.monotonically_increasing_id()}))
+    prints = settle(wide_fingerprints(docs, shingle, text_col=text_col).withColumn("row", F.monotonically_increasing_id()))
     one = F.min("row").alias("row")
     classes = settle(prints.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("wide").alias("wide"), one))
     roots = alike_roots(prints, classes, shingle, leaf, likeness)

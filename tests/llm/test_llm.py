@@ -382,3 +382,19 @@ def test_likeness_of_odd_rows(spark, odd, empty):
     assert kept.columns == odd.columns
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == [-9, 1, 3, 4, None, None]
     assert simhash.keep_one(empty, 5).count() == 0
+
+
+def _prose(rnd, n):
+    return [f"w{rnd.randrange(30_000)}" for _ in range(n)]
+
+
+def test_unlike_texts_of_one_fingerprint_both_stay(spark):
+    rnd = random.Random(11)
+    phrase = _prose(rnd, 5)
+    texts = [" ".join(body + phrase * 400) for body in (_prose(rnd, 1000), _prose(rnd, 1000))]
+    hashes = [simhash.shingle_hashes(t, 5) for t in texts]
+    assert len(np.intersect1d(*hashes)) < 0.01 * len(np.union1d(*hashes))
+    texts += [texts[0], texts[0].upper(), texts[1].replace(" ", "\n")]  # equal sets of shingles
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(df, 5).collect()}
+    assert found == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1}

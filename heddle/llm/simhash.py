@@ -15,7 +15,7 @@ skipped and only the links that join components are put out. Components then set
 
 ``keep_one`` judges likeness, not digits of one fingerprint: at a Jaccard similarity of 0.8 two texts differ in
 10 of 64 digits on average, and a budget that wide prunes nothing. It takes ``WORDS`` fingerprints side by side,
-each from the shingle hashes mixed anew. Two texts are candidates if some fifth of some word is equal, that word
+each from the hashes of the different shingles mixed anew (repeats don't count, as in the Jaccard similarity). Two texts are candidates if some fifth of some word is equal, that word
 differs in at most ``WORD_BUDGET`` digits and all words together in at most ``WIDE_BUDGET``. There is one trie per
 word and fifth, joined as above. Each link that the walk puts out is a pair of candidates, and links only if the
 sets of the two texts' shingles have a Jaccard similarity of ``LIKENESS`` or more. A walk joins rows by links not yet
@@ -82,8 +82,11 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def wide_fingerprint(text: str, shingle: int, words: int = WORDS) -> bytes:
-    """``words`` fingerprints in a row, 8 bytes each, from independent mixes of the shingle hashes; no words: zeros."""
-    hashes = shingle_hashes(text, shingle)
+    """``words`` fingerprints in a row, 8 bytes each, from independent mixes of the different shingle hashes; no words: zeros."""
+    return _wide(shingle_set(text, shingle), words)
+
+
+def _wide(hashes: np.ndarray, words: int) -> bytes:
     counts = np.zeros(BITS * words, "i8")
     for at in range(0, len(hashes), 255 * 16):
         mixed = hashes[at : at + 255 * 16, None] + np.arange(words, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)
@@ -104,8 +107,9 @@ def wide_fingerprints(docs: DataFrame, shingle: int, words: int = WORDS, text_co
 
         for batch in batches:
             texts = batch["text"].to_pylist()
-            found = [wide_fingerprint(t, shingle, words) for t in texts]
-            ids = np.array([xxhash.xxh3_64_intdigest(shingle_set(t, shingle).tobytes()) for t in texts], "u8").view("i8")
+            sets = [shingle_set(t, shingle) for t in texts]
+            found = [_wide(x, words) for x in sets]
+            ids = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], "u8").view("i8")
             columns = [batch["doc_id"], pa.array(ids), pa.array(found, pa.binary()), batch["text"]]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "id", "wide", "text"])
 

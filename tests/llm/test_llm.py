@@ -398,3 +398,18 @@ def test_unlike_texts_of_one_fingerprint_both_stay(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in simhash.near_copies(df, 5).collect()}
     assert found == {0: 0, 1: 1, 2: 0, 3: 0, 4: 1}
+
+
+def test_near_copies_recall_with_repeated_lines(spark):
+    rnd = random.Random(12)
+    texts = []
+    for k in range(40):
+        body, line = _prose(rnd, 300), _prose(rnd, 5)
+        texts += [body, body + line * 8, body[:150] + line * (3 + k % 9) + body[150:]]
+    texts = [" ".join(t) for t in texts]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(pairs) >= 120
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in simhash.near_copies(df, 5).collect()}
+    assert sum(found[i] == found[j] for i, j in pairs) == len(pairs)

@@ -9,8 +9,8 @@ starts from the pairs (node, same node) below it.
 The join walks pairs of nodes together: a pair's children are paired, differing digits add up and a
 pair over the budget is dropped. While a node holds more than ``leaf`` fingerprints the walk is a Spark
 join of node tables (nodes and counts, never their fingerprints), so a node that holds a third of all
-fingerprints becomes many pairs of small ones. Each remaining pair is one unit of at most ``2 * leaf``
-rows, walked to its end in one task; there, pairs of nodes that are already one component are
+fingerprints becomes many pairs of small ones; a node of one key with many ids is dealt out to blocks by a hash
+of the id. Each remaining pair is one unit of at most ``2 * leaf`` rows, walked to its end in one task; there, pairs of nodes that are already one component are
 skipped and only the links that join components are put out. Components then settle across units.
 
 ``keep_one`` judges likeness, not digits of one fingerprint: at a Jaccard similarity of 0.8 two texts differ in
@@ -163,10 +163,14 @@ def wide_tries(classes: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def units(leaves: DataFrame, budget: int, leaf: int) -> DataFrame:
-    """The node pairs that remain (``trie, depth, a, b, differ``), each of at most ``2 * leaf`` leaves."""
+    """The pairs that remain (``trie, depth, a, b, differ`` and ``parts`` and ``block`` of each side).
+
+    A node of more than ``leaf`` leaves that has used up all digits (many ids with one key) is dealt out to ``parts``
+    blocks by a hash of the id, half of ``leaf`` each on average, and its blocks are paired. Other nodes are one block.
+    """
     tops = leaves.groupBy("trie", F.col("top").alias("depth"), _top(F.col("key"), F.col("top")).alias("a")).agg(F.count("*").alias("n"))
     tops = settle(tops.filter("n > 1"))
-    done = [tops.filter(F.col("n") <= leaf).select("trie", "depth", "a", F.col("a").alias("b"), F.lit(0).alias("differ"))]
+    done = [tops.filter(F.col("n") <= leaf).select("trie", "depth", "a", F.col("a").alias("b"), F.lit(0).alias("differ"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))]
     open_ = tops.filter(F.col("n") > leaf).select("trie", "depth", "a", F.col("a").alias("b"), F.lit(0).alias("differ"))
     while not open_.isEmpty():
         heads = open_.select("trie", "depth", "a").union(open_.select("trie", "depth", "b")).distinct()
@@ -184,19 +188,44 @@ def units(leaves: DataFrame, budget: int, leaf: int) -> DataFrame:
         left = nodes.select("trie", "depth", F.col("parent").alias("a"), F.col("node").alias("na"), F.col("n").alias("n_a"))
         right = nodes.select("trie", "depth", F.col("parent").alias("b"), F.col("node").alias("nb"), F.col("n").alias("n_b"))
         paired = open_.join(left, ["trie", "depth", "a"]).join(right, ["trie", "depth", "b"]).filter("a < b OR na <= nb")
-        mask = F.lit((1 << STEP) - 1)
+        mask = F.call_function("shiftleft", F.lit(1).cast("long"), (down - F.col("depth")).cast("int")) - 1  # the new digits
         differ = F.col("differ") + F.bit_count(F.col("na").bitwiseXOR(F.col("nb")).bitwiseAND(mask)).cast("int")
         paired = paired.withColumn("differ", differ).filter(F.col("differ") <= budget)
         paired = paired.filter("na <> nb OR n_a > 1").withColumn("depth", down)
         grown = settle(paired.select("trie", "depth", F.col("na").alias("a"), F.col("nb").alias("b"), "differ", "n_a", "n_b"))
         small = (F.col("n_a") <= leaf) & (F.col("n_b") <= leaf) | (F.col("depth") == BITS)
         keep = ["trie", "depth", "a", "b", "differ"]
-        done.append(grown.filter(small).select(*keep))
+        done.append(grown.filter(small).select(*keep, "n_a", "n_b"))
         open_ = grown.filter(~small).select(*keep)
     pairs = done[0]
     for more in done[1:]:
         pairs = pairs.union(more)
-    return settle(pairs)
+    parts = lambda n: F.when(F.col(n) > leaf, F.ceil(2 * F.col(n) / leaf)).otherwise(1).cast("int")
+    dealt = pairs.select("trie", "depth", "a", "b", "differ", parts("n_a").alias("parts_a"), parts("n_b").alias("parts_b"))
+    dealt = dealt.withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1)))
+    least = F.when(F.col("a") == F.col("b"), F.col("block_a")).otherwise(0)
+    return settle(dealt.withColumn("block_b", F.explode(F.sequence(least, F.col("parts_b") - 1))))
+
+
+def unit_rows(leaves: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The leaves of each of the ``pairs``: ``unit, trie, depth, side, alone, differ, id, key`` and ``wide, root, barred`` as far as given."""
+    also = [c for c in ("wide", "root", "barred") if c in leaves.columns]
+    alone = (F.col("a") == F.col("b")) & (F.col("block_a") == F.col("block_b"))
+    one = pairs.withColumns({"unit": F.xxhash64("trie", "depth", "a", "b", "block_a", "block_b"), "alone": alone})
+    end = lambda x, side: one.filter(f"NOT alone OR {side} = 0").select(
+        "trie", "depth", F.col(x).alias("node"), F.col(f"parts_{x}").alias("parts"), F.col(f"block_{x}").alias("block"), "unit", "differ", F.lit(side).alias("side"), "alone"
+    )
+    ends = end("a", 0).union(end("b", 1))
+    depths = sorted(r[0] for r in pairs.select("depth").distinct().collect())  # a few numbers up to 64
+    deep = F.explode(F.array(*map(F.lit, depths)) if depths else F.array().cast("array<int>")).alias("depth")
+    each = leaves.select("trie", "key", "top", "id", *also, deep).filter("depth >= top")
+    each, place = each.withColumn("node", _top(F.col("key"), F.col("depth"))), ["trie", "depth", "node"]
+    parted = ends.filter("parts > 1").select(*place, "parts").distinct()
+    if not parted.isEmpty():  # nodes of one key each; there is at most one for each `leaf` rows
+        block = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("int")
+        each, place = each.join(F.broadcast(parted), place, "left").withColumn("block", block).drop("parts"), [*place, "block"]
+    dealt = each.join(ends, place)
+    return dealt.select("unit", "trie", "depth", "side", "alone", "differ", "id", "key", *also)
 
 
 def walk(
@@ -245,7 +274,14 @@ def walk(
         first = label[a0]
         if (label[a0:a1] == first).all() and (label[b0:b1] == first).all():
             continue
-        if (a1 - a0) * (b1 - b0) <= 4096 or at == BITS:
+        if (a1 - a0) * (b1 - b0) > 4096 and at == BITS:  # one key on either side, so halves of rows
+            ac, bc = (a0 + a1 + 1) // 2, (b0 + b1 + 1) // 2
+            below = [(a0, ac, bc, b1), (ac, a1, bc, b1), (a0, ac, b0, bc)]
+            if a0 != b0:
+                below.append((ac, a1, b0, bc))
+            todo += [(p, q, r, s, at, bad) for p, q, r, s in below if p < q and r < s]
+            continue
+        if (a1 - a0) * (b1 - b0) <= 4096:
             near = np.bitwise_count(keys[a0:a1, None] ^ keys[None, b0:b1]) <= budget
             if a0 == b0:
                 np.fill_diagonal(near, False)
@@ -297,15 +333,7 @@ def links(leaves: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFram
     """
     pairs = units(leaves, budget, leaf)
     also = [c for c in ("wide", "root", "barred") if c in leaves.columns]
-    one = pairs.withColumn("unit", F.xxhash64("trie", "depth", "a", "b"))
-    ends = one.select("trie", "depth", F.col("a").alias("node"), "unit", "differ", F.lit(0).alias("side"), (F.col("a") == F.col("b")).alias("alone")).union(
-        one.filter("a <> b").select("trie", "depth", "b", "unit", "differ", F.lit(1), F.lit(False))
-    )
-    depths = sorted(r[0] for r in pairs.select("depth").distinct().collect())  # a few numbers up to 64
-    deep = F.explode(F.array(*map(F.lit, depths)) if depths else F.array().cast("array<int>")).alias("depth")
-    each = leaves.select("trie", "key", "top", "id", *also, deep).filter("depth >= top")
-    dealt = each.withColumn("node", _top(F.col("key"), F.col("depth"))).join(ends, ["trie", "depth", "node"])
-    rows = dealt.select("unit", "trie", "depth", "side", "alone", "differ", "id", "key", *also)
+    rows = unit_rows(leaves, pairs)
 
     def run(batches):
         def solve(part):

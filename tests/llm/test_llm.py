@@ -413,3 +413,30 @@ def test_near_copies_recall_with_repeated_lines(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in simhash.near_copies(df, 5).collect()}
     assert sum(found[i] == found[j] for i, j in pairs) == len(pairs)
+
+
+def test_one_key_of_many_ids_is_parted(spark):
+    rnd, leaf = random.Random(13), 64
+    other = [rnd.getrandbits(64 * 5) for _ in range(2)]  # two groups that agree in one word alone
+    rows = []
+    for i in range(900):
+        x = other[i % 3 == 0]
+        for at in rnd.sample(range(64 * 5), 12):
+            x ^= 1 << at
+        rows.append((i, bytearray(b"12345678" + x.to_bytes(40, "little"))))
+    leaves = simhash.wide_tries(spark.createDataFrame(rows, "id long, wide binary"))
+    sizes = simhash.unit_rows(leaves, simhash.units(leaves, simhash.WORD_BUDGET, leaf)).groupBy("trie", "unit").count()
+    assert sizes.agg({"count": "max"}).first()[0] <= 2 * leaf
+    root = {r.u: r.root for r in components.components(simhash.links(leaves, simhash.WORD_BUDGET, leaf)).collect()}
+    assert [root.get(i, i) for i in range(900)] == [0 if i % 3 == 0 else 1 for i in range(900)]
+
+
+def test_walk_pairs_many_rows_of_one_key():
+    key = np.full(500, 7, "u8")
+    wide = np.zeros((500, 6), "u8")
+    wide[200:300] = ~np.uint64(0)
+    for a, b in ((key, None), (key[:220], key[220:])):
+        label = np.arange(500)
+        for i, j in simhash.walk(a, b, 64, 0, 20, wide):
+            label[label == max(label[i], label[j])] = min(label[i], label[j])
+        assert (label[:200] == 0).all() and (label[300:] == 0).all() and (label[200:300] == 200).all()

@@ -7,9 +7,10 @@ all documents, says how many bits of the entity's own information the term carri
 
     PMI(t; e) = log2(N * n(t near e) / (n(t) * n(e)))      IC(e) = log2(N / n(e))
 
-with N, n(e), n(t) and n(t near e) numbers of documents. A term with PMI >= ``DISCLOSE`` * IC, seen near the entity in at
-least ``LEAST`` documents, is a span of its own where it stands near the entity. Sanitising replaces the
-four kinds by placeholders, generalises such terms, and removes those over ``REMOVE`` * IC.
+with N, n(e), n(t) and n(t near e) numbers of documents, without smoothing or a least number of documents. A term with
+PMI >= ``DISCLOSE`` * IC is a span of its own where it stands near the entity; so for an entity of one document any term
+in up to N ** (1 - DISCLOSE) documents is one. An entity of all documents has no information to disclose. Sanitising
+replaces the four kinds by placeholders, generalises such terms, and removes those over ``REMOVE`` * IC.
 
 Terms are letter sequences of at least three letters, lower-cased. Only documents with an entity send rows on;
 term counts are summed per worker before they are shuffled. A hot entity meets as sums.
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,7 +33,6 @@ from heddle.llm.common import settle, table, text_of
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR = 8
-LEAST = 3
 DISCLOSE = 0.8
 REMOVE = 0.95
 
@@ -92,21 +93,27 @@ def _entity(kind: int, value: str) -> str:
 
 def near_terms(text: str, spans: list[tuple[int, int, int]], near: int = NEAR) -> dict[str, list[tuple[str, int, int]]]:
     """For each entity of a text the terms beside its occurrences, with their places."""
-    taken = [(s, e) for s, _, e in spans]
+    taken: list[list[int]] = []
+    for s, _, e in spans:
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    opened = [s for s, _ in taken]
+    words = [m.span() for m in _TERM.finditer(text)]
+    starts, ends = [s for s, _ in words], [e for _, e in words]
     found: dict[str, dict] = {}
     for start, kind, end in spans:
-        window = 24 * near  # words are looked for in stretches that grow until there are enough
-        while True:
-            low, high = max(0, start - window), min(len(text), end + window)
-            before = [m for m in _TERM.finditer(text, low, start) if m.start() > low or not low]
-            after = [m for m in _TERM.finditer(text, end, high) if m.end() < high or high == len(text)]
-            if (len(before) >= near or not low) and (len(after) >= near or high == len(text)) or window > 10_000:
-                break
-            window *= 4
+        # A word that an entity cuts counts with the letters that are left, if these are enough.
+        k, j = bisect_left(starts, start), bisect_right(ends, end)
+        before = [(s, min(e, start)) for s, e in words[max(0, k - near - 1) : k]]
+        after = [(max(s, end), e) for s, e in words[j : j + near + 1]]
+        before, after = ([(s, e) for s, e in side if e - s >= 3] for side in (before, after))
         held = found.setdefault(_entity(kind, text[start:end]), {})
-        for m in before[-near:] + after[:near]:
-            if not any(m.start() < e and s < m.end() for s, e in taken):
-                held[m.start()] = (m[0].lower(), m.start(), m.end())
+        for s, e in before[-near:] + after[:near]:
+            t = bisect_left(opened, e) - 1
+            if t < 0 or taken[t][1] <= s:
+                held[s] = (text[s:e].lower(), s, e)
     return {k: list(v.values()) for k, v in found.items()}
 
 
@@ -168,18 +175,18 @@ def _count_terms(most: int = 200_000):
     return run
 
 
-def find(docs: DataFrame, near: int = NEAR, least: int = LEAST, disclose: float = DISCLOSE, text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, near: int = NEAR, disclose: float = DISCLOSE, text_col: str = "text") -> DataFrame:
     """``doc_id, digest, spans, terms`` per row: personal data by form, and the terms that reveal it, with their share of its information."""
     named = _named(docs, text_col)
     found = settle(named.mapInArrow(_find(near), FOUND))
     total = found.agg(F.count("*").alias("n_all"))  # one row
     pairs = found.select(F.explode(F.array_distinct(F.transform("terms", lambda x: F.struct(x["entity"], x["term"])))).alias("x"))
-    joint = settle(pairs.groupBy("x.entity", "x.term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= least))
+    joint = settle(pairs.groupBy("x.entity", "x.term").agg(F.count("*").alias("n_both")))
     entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     terms = named.mapInArrow(_count_terms(), "term string, n long")
     wanted = joint.select("term").distinct()
     terms = terms.groupBy("term").agg(F.sum("n").alias("n_term")).join(wanted, "term")
-    known = joint.join(entities, "entity").join(terms, "term").join(F.broadcast(total))
+    known = joint.join(entities, "entity").join(terms, "term").join(F.broadcast(total)).filter("n_entity < n_all")
     pmi = F.log2(F.col("n_all") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     share = pmi / F.log2(F.col("n_all") / F.col("n_entity"))
     telling = settle(known.select("entity", "term", share.alias("share")).filter(F.col("share") >= disclose))

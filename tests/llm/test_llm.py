@@ -440,3 +440,29 @@ def test_walk_pairs_many_rows_of_one_key():
         for i, j in simhash.walk(a, b, 64, 0, 20, wide):
             label[label == max(label[i], label[j])] = min(label[i], label[j])
         assert (label[:200] == 0).all() and (label[300:] == 0).all() and (label[200:300] == 200).all()
+
+
+def test_terms_of_few_documents_reveal(spark):
+    rows = [(i, f"the zorblax met bob@x.org near the river {i}") for i in range(2)] + [(9 + i, "they met near the river in the town") for i in range(30)]
+    rows += [(99, "the quux wrote " + "7 " * 20_000 + "to ann@x.org " + "7 " * 20_000 + "near the river")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: [rows[i][1][t.start : t.end] for t in r.terms] for i, r in enumerate(pii.find(df).orderBy("doc_id").collect())}
+    assert found[0] == found[1] == ["zorblax"]
+    assert found[99] == ["quux", "wrote"]
+    one = pii.find(df.filter("doc_id = 0")).first()  # an entity of all documents
+    assert len(one.spans) == 1 and one.terms == []
+
+
+def test_near_terms_match_a_plain_scan():
+    rnd = random.Random(14)
+    for _ in range(3000):
+        text = "".join(rnd.choice(["é", "ab", "abc ", " ", "1", "a@b.c", "@", "défg ", "x.y ", "1.2.3.4"]) for _ in range(rnd.randint(0, 40)))
+        spans, wanted = pii.base_spans(text), defaultdict(dict)
+        for start, kind, end in spans:
+            near = wanted[pii._entity(kind, text[start:end])]
+            before, after = list(pii._TERM.finditer(text, 0, start))[-3:], list(pii._TERM.finditer(text, end))[:3]
+            for m in before + after:
+                if not any(m.start() < e and s < m.end() for s, _, e in spans):
+                    near[m.start()] = (m[0].lower(), m.start(), m.end())
+        found = {k: set(v) for k, v in pii.near_terms(text, spans, 3).items()}
+        assert found == {k: set(v.values()) for k, v in wanted.items()}, text

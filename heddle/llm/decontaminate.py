@@ -71,7 +71,7 @@ def windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> D
 def contamination(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, text_col: str = "text"
 ) -> DataFrame:
-    """One row per distinct ``(doc_id, text)``: ``doc_id, digest, n_words, n_hit, n_items, item_ids``."""
+    """One row per distinct ``(doc_id, text)``: ``doc_id, digest, n_words, n_hit, n_items, item_ids`` and ``copies``, the rows it stands for."""
     cut = settle(windows(items, window, shingle))
     sizes = cut.select("size", "shingle").distinct()
     few = sizes.count() <= BROADCAST_ROWS
@@ -92,7 +92,7 @@ def contamination(
     )
     wanted = sizes.union(docs.sparkSession.range(1).select(F.lit(0).alias("size"), F.lit("").alias("shingle")))
     hits = settle(each.join(small(wanted), ["size", "shingle"]).select("doc_id", "digest", "n_words", "at", "size", "shingle"))
-    whole = hits.filter("at = -1").select("doc_id", "digest", "n_words").distinct()
+    whole = hits.filter("at = -1").groupBy("doc_id", "digest", "n_words").agg(F.count("*").alias("copies"))
     found = hits.filter("at >= 0")
 
     rarity = found.groupBy("size", "shingle").agg(F.count("*").alias("seen"))
@@ -145,7 +145,7 @@ def contamination(
         "doc_id", "digest", F.col("n_words").cast("long").alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("item_ids"), F.lit(0)).cast("long").alias("n_items"),
-        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), "copies",
     )
 
 
@@ -159,6 +159,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFram
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     judged = contamination(docs, table(spark, sf_dir, "benchmark"))
+    judged = judged.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))  # a row for each row of the table
     return judged.select(
         "doc_id", "n_words", "n_hit", "n_items",
         F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),

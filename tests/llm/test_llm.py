@@ -466,3 +466,10 @@ def test_near_terms_match_a_plain_scan():
                     near[m.start()] = (m[0].lower(), m.start(), m.end())
         found = {k: set(v) for k, v in pii.near_terms(text, spans, 3).items()}
         assert found == {k: set(v.values()) for k, v in wanted.items()}, text
+
+
+def test_decontamination_has_a_row_for_each_row(spark, tmp_path):
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "other words"), (3, "other words"), (3, "other words"), (None, "odd"), (None, "odd")]
+    spark.createDataFrame(rows, "doc_id long, text string").toPandas().astype({"doc_id": "Int64"}).to_parquet(tmp_path / "documents.parquet")
+    spark.createDataFrame([(1, "b c d e f")], "item_id long, text string").toPandas().to_parquet(tmp_path / "benchmark.parquet")
+    same_rows(decontaminate.op7_decontamination(spark, str(tmp_path)), decontaminate.ORACLE_SQL, str(tmp_path))

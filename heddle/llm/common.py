@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +16,25 @@ from pyspark.sql import functions as F
 #: The white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Keys that are sent to every executor at most (some 60 MB); more are joined by shuffling.
+BROADCAST_ROWS = 1_000_000
+
+#: Removes a query's shuffle files when it has ended, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_open: ContextVar[list[tuple[SparkSession, str]] | None] = ContextVar("open", default=None)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Where that is unset (tests on one
-    machine) a temporary folder stands in for it.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a temporary folder stands in for it
+    if driver and executors are one process; anywhere else a local folder would lose rows, so it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="heddle-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -30,12 +44,44 @@ def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a read of the table, not a second run
-    of what made it. The table goes when the driver's Python ends.
+    of what made it. The table goes at the end of the ``passing`` block that it is settled in, or else
+    when the driver's Python ends.
+    """
+    return _settle(df, _open.get())
+
+
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables settled within this block go at its end, so what the block returns must not read them.
+
+    The block gets ``keep``, which settles a table that belongs to the block around (or to the session).
     """
+    around, own = _open.get(), []
+    mark = _open.set(own)
+    try:
+        yield lambda df: _settle(df, around)
+    finally:
+        _open.reset(mark)
+        for spark, path in own:
+            _remove(spark, path)
+
+
+def _settle(df: DataFrame, owner: list[tuple[SparkSession, str]] | None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/heddle-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+        if owner is None:
+            atexit.register(_remove, spark, path)
+        else:
+            owner.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,6 +94,26 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def few(keys: DataFrame, weight: Column | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``keys`` (a settled table of narrow rows), marked for broadcasting if there are ``most`` or fewer of them.
+
+    ``weight`` counts the parts of a row that has arrays.
+    """
+    held = keys.count() if weight is None else keys.agg(F.coalesce(F.sum(weight + 1), F.lit(0))).first()[0]
+    return F.broadcast(keys) if held <= most else keys
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, whatever the case."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

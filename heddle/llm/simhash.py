@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import settle, table, text_of
+from heddle.llm.common import few, passing, settle, table, text_of, unused
 from heddle.llm.components import components
 
 BITS = 64
@@ -53,6 +53,8 @@ LIKENESS = 0.8
 SPARE = 4
 #: Digits by which the walk in Spark goes down at once.
 STEP = 3
+#: Units of up to so many rows are compared side by side with others.
+DENSE = 64
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -100,21 +102,20 @@ def _wide(hashes: np.ndarray, words: int) -> bytes:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int, words: int = WORDS, text_col: str = "text") -> DataFrame:
-    """``doc_id, id, wide, text``, the ``id`` a 64-bit hash of the set of shingles; a null text is empty."""
+    """``doc_id, row, id, wide`` of each row, ``row`` a digest of its id and text and ``id`` a 64-bit hash of its set of shingles."""
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            texts = batch["text"].to_pylist()
-            sets = [shingle_set(t, shingle) for t in texts]
+            sets = [shingle_set(t, shingle) for t in batch["text"].to_pylist()]
             found = [_wide(x, words) for x in sets]
             ids = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], "u8").view("i8")
-            columns = [batch["doc_id"], pa.array(ids), pa.array(found, pa.binary()), batch["text"]]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "id", "wide", "text"])
+            columns = [batch["doc_id"], batch["row"], pa.array(ids), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "id", "wide"])
 
-    named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    return named.mapInArrow(run, "doc_id long, id long, wide binary, text string")
+    named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _row_key(docs, text_col).alias("row"), text_of(docs, text_col).alias("text"))
+    return named.mapInArrow(run, "doc_id long, row binary, id long, wide binary")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text") -> DataFrame:
@@ -162,16 +163,21 @@ def wide_tries(classes: DataFrame, words: int = WORDS) -> DataFrame:
     return classes.select(*classes.columns, F.explode(F.array(*cut)).alias("x")).select("x.*", *classes.columns)
 
 
-def units(leaves: DataFrame, budget: int, leaf: int) -> DataFrame:
-    """The pairs that remain (``trie, depth, a, b, differ`` and ``parts`` and ``block`` of each side).
+def crowds(leaves: DataFrame, leaf: int) -> DataFrame:
+    """The tops of more than ``leaf`` leaves (``trie, depth, a, n``); there is at most one for each ``leaf`` rows."""
+    node = _top(F.col("key"), F.col("top"))
+    return settle(leaves.groupBy("trie", F.col("top").alias("depth"), node.alias("a")).agg(F.count("*").alias("n")).filter(F.col("n") > leaf))
+
+
+def units(leaves: DataFrame, tops: DataFrame, budget: int, leaf: int) -> DataFrame:
+    """The pairs that remain below crowded ``tops`` (``trie, depth, a, b, differ`` and ``parts`` and ``block`` of each side).
 
     A node of more than ``leaf`` leaves that has used up all digits (many ids with one key) is dealt out to ``parts``
     blocks by a hash of the id, half of ``leaf`` each on average, and its blocks are paired. Other nodes are one block.
     """
-    tops = leaves.groupBy("trie", F.col("top").alias("depth"), _top(F.col("key"), F.col("top")).alias("a")).agg(F.count("*").alias("n"))
-    tops = settle(tops.filter("n > 1"))
-    done = [tops.filter(F.col("n") <= leaf).select("trie", "depth", "a", F.col("a").alias("b"), F.lit(0).alias("differ"), F.col("n").alias("n_a"), F.col("n").alias("n_b"))]
-    open_ = tops.filter(F.col("n") > leaf).select("trie", "depth", "a", F.col("a").alias("b"), F.lit(0).alias("differ"))
+    keep = ["trie", "depth", "a", "b", "differ"]
+    open_ = tops.select("trie", "depth", "a", F.col("a").alias("b"), F.lit(0).alias("differ"))
+    pairs = settle(open_.withColumns({"n_a": F.lit(0).cast("long"), "n_b": F.lit(0).cast("long")}).limit(0))
     while not open_.isEmpty():
         heads = open_.select("trie", "depth", "a").union(open_.select("trie", "depth", "b")).distinct()
         down = F.least(F.col("depth") + STEP, F.lit(BITS))
@@ -180,7 +186,7 @@ def units(leaves: DataFrame, budget: int, leaf: int) -> DataFrame:
         nodes = None
         for d in depths:
             below = min(d + STEP, BITS)
-            some = leaves.withColumn("a", _top(F.col("key"), d)).join(heads.filter(F.col("depth") == d), ["trie", "a"], "left_semi")
+            some = leaves.select("trie", "key", _top(F.col("key"), d).alias("a")).join(heads.filter(F.col("depth") == d), ["trie", "a"], "left_semi")
             counted = some.groupBy("trie", F.col("a").alias("parent"), _top(F.col("key"), below).alias("node")).agg(F.count("*").alias("n"))
             counted = counted.withColumn("depth", F.lit(d))
             nodes = counted if nodes is None else nodes.union(counted)
@@ -194,12 +200,8 @@ def units(leaves: DataFrame, budget: int, leaf: int) -> DataFrame:
         paired = paired.filter("na <> nb OR n_a > 1").withColumn("depth", down)
         grown = settle(paired.select("trie", "depth", F.col("na").alias("a"), F.col("nb").alias("b"), "differ", "n_a", "n_b"))
         small = (F.col("n_a") <= leaf) & (F.col("n_b") <= leaf) | (F.col("depth") == BITS)
-        keep = ["trie", "depth", "a", "b", "differ"]
-        done.append(grown.filter(small).select(*keep, "n_a", "n_b"))
+        pairs = pairs.union(grown.filter(small).select(*keep, "n_a", "n_b"))
         open_ = grown.filter(~small).select(*keep)
-    pairs = done[0]
-    for more in done[1:]:
-        pairs = pairs.union(more)
     parts = lambda n: F.when(F.col(n) > leaf, F.ceil(2 * F.col(n) / leaf)).otherwise(1).cast("int")
     dealt = pairs.select("trie", "depth", "a", "b", "differ", parts("n_a").alias("parts_a"), parts("n_b").alias("parts_b"))
     dealt = dealt.withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("parts_a") - 1)))
@@ -207,13 +209,17 @@ def units(leaves: DataFrame, budget: int, leaf: int) -> DataFrame:
     return settle(dealt.withColumn("block_b", F.explode(F.sequence(least, F.col("parts_b") - 1))))
 
 
+#: What tells one unit below a crowded top from another.
+UNIT = ["trie", "depth", "a", "b", "block_a", "block_b"]
+
+
 def unit_rows(leaves: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The leaves of each of the ``pairs``: ``unit, trie, depth, side, alone, differ, id, key`` and ``wide, root, barred`` as far as given."""
+    """The leaves of each of the ``pairs``: the columns of ``UNIT`` and ``side, differ, id, key`` and ``wide, root, barred`` as far as given."""
     also = [c for c in ("wide", "root", "barred") if c in leaves.columns]
     alone = (F.col("a") == F.col("b")) & (F.col("block_a") == F.col("block_b"))
-    one = pairs.withColumns({"unit": F.xxhash64("trie", "depth", "a", "b", "block_a", "block_b"), "alone": alone})
+    one = pairs.withColumn("alone", alone)
     end = lambda x, side: one.filter(f"NOT alone OR {side} = 0").select(
-        "trie", "depth", F.col(x).alias("node"), F.col(f"parts_{x}").alias("parts"), F.col(f"block_{x}").alias("block"), "unit", "differ", F.lit(side).alias("side"), "alone"
+        *UNIT, F.col(x).alias("node"), F.col(f"parts_{x}").alias("parts"), F.col(f"block_{x}").alias("block"), "differ", F.lit(side).alias("side")
     )
     ends = end("a", 0).union(end("b", 1))
     depths = sorted(r[0] for r in pairs.select("depth").distinct().collect())  # a few numbers up to 64
@@ -223,9 +229,8 @@ def unit_rows(leaves: DataFrame, pairs: DataFrame) -> DataFrame:
     parted = ends.filter("parts > 1").select(*place, "parts").distinct()
     if not parted.isEmpty():  # nodes of one key each; there is at most one for each `leaf` rows
         block = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("int")
-        each, place = each.join(F.broadcast(parted), place, "left").withColumn("block", block).drop("parts"), [*place, "block"]
-    dealt = each.join(ends, place)
-    return dealt.select("unit", "trie", "depth", "side", "alone", "differ", "id", "key", *also)
+        each, place = each.join(parted, place, "left").withColumn("block", block).drop("parts"), [*place, "block"]
+    return each.join(ends, place).select(*UNIT, "side", "differ", "id", "key", *also)
 
 
 def walk(
@@ -237,14 +242,14 @@ def walk(
     wide: np.ndarray | None = None,
     wide_budget: int = WIDE_BUDGET,
     group: np.ndarray | None = None,
-    barred: frozenset[tuple[int, int]] = frozenset(),
+    barred: np.ndarray | None = None,
     spare: int = 0,
 ) -> np.ndarray:
     """Walks a pair of nodes to the end; the pairs of rows (of ``a``, then of ``b``) whose links join rows.
 
     Keys (u64) are sorted; ``keys_b`` is None where a node is paired with itself. Rows of ``wide`` (u64) in
     the order of all keys, if given, must agree within ``wide_budget`` too. Rows of one ``group`` are joined from the
-    start, and ``barred`` pairs (each both ways round) are not linked. The first ``spare`` pairs are put out without joining rows.
+    start, and ``barred`` pairs (rows of two, each both ways round) are not linked. The first ``spare`` pairs are put out without joining rows.
     """
     keys = keys_a if keys_b is None else np.concatenate([keys_a, keys_b])
     n, m = len(keys_a), len(keys)
@@ -289,9 +294,9 @@ def walk(
                 i, j = np.nonzero(near)
                 apart = np.bitwise_count(wide[a0 + i] ^ wide[b0 + j]).sum(1, dtype="i8")
                 near[i, j] = apart <= wide_budget
-            for i, j in barred:
-                if a0 <= i < a1 and b0 <= j < b1:
-                    near[i - a0, j - b0] = False
+            if barred is not None and len(barred):
+                here = barred[(a0 <= barred[:, 0]) & (barred[:, 0] < a1) & (b0 <= barred[:, 1]) & (barred[:, 1] < b1)]
+                near[here[:, 0] - a0, here[:, 1] - b0] = False
             if len(pairs) < spare:
                 near &= label[a0:a1, None] != label[None, b0:b1]
                 if a0 == b0:
@@ -326,75 +331,154 @@ def walk(
     return np.array(pairs, "i8").reshape(-1, 2)
 
 
+def _solve(part: dict[str, np.ndarray], n: int, depth: int, differ: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links of one unit, its first ``n`` rows one side (all: a node paired with itself), each side sorted by key."""
+    key, ids = part["key"].view("u8"), part["id"]
+    barred = None
+    if "barred" in part and any(map(len, part["barred"])):
+        place = {x: i for i, x in enumerate(ids.tolist())}
+        found = [(i, place[x]) for i, them in enumerate(part["barred"]) for x in them if x in place]
+        barred = np.array(found + [(j, i) for i, j in found], "i8").reshape(-1, 2)
+    spare = SPARE * len(key) if "root" in part else 0
+    joined = walk(key[:n], None if n == len(key) else key[n:], depth, differ, budget, part.get("wide"), group=part.get("root"), barred=barred, spare=spare)
+    return ids[joined[:, 0]], ids[joined[:, 1]]
+
+
+def _dense(rows: dict[str, np.ndarray], cuts: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links of all units of up to ``DENSE`` rows at once (``cuts`` are the units' edges), without those between rows that hang together."""
+    sizes = np.diff(cuts)
+    ends = np.repeat(np.where(sizes <= DENSE, cuts[1:], cuts[:-1]), sizes)
+    key, wide = rows["key"].view("u8"), rows.get("wide")
+    found, at = [], np.arange(cuts[0], cuts[-1])
+    ends = np.concatenate([np.zeros(cuts[0], "i8"), ends])
+    for apart in range(1, DENSE):
+        at = at[at + apart < ends[at]]
+        if not len(at):
+            break
+        near = at[np.bitwise_count(key[at] ^ key[at + apart]) <= budget]
+        if wide is not None and len(near):
+            near = near[np.bitwise_count(wide[near] ^ wide[near + apart]).sum(1, dtype="i8") <= WIDE_BUDGET]
+        found.append(np.stack([near, near + apart], 1))
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (above := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(above, above)
+        return x
+
+    joined = []
+    for i, j in np.concatenate(found).tolist() if found else []:
+        i_root, j_root = root(i), root(j)
+        if i_root != j_root:
+            parent[max(i_root, j_root)] = min(i_root, j_root)
+            joined.append((i, j))
+    pairs = np.array(joined, "i8").reshape(-1, 2)
+    return rows["id"][pairs[:, 0]], rows["id"][pairs[:, 1]]
+
+
+def _by_unit(batches, edges, solve, dense=None):
+    """Links of the units in sorted rows; ``edges`` tells for each row but the first whether another unit begins.
+    ``dense``, if given, solves all units of up to ``DENSE`` rows together."""
+
+    def columns(batch):
+        now = {}
+        for name in batch.schema.names:
+            if name == "wide":
+                now[name] = np.frombuffer(b"".join(batch[name].to_pylist()), "<u8").reshape(len(batch), -1)
+            elif name == "barred":
+                now[name] = np.empty(len(batch), object)
+                now[name][:] = batch[name].to_pylist()
+            else:
+                now[name] = batch[name].to_numpy(zero_copy_only=False)
+        return now
+
+    def put(found):
+        u, v = (np.concatenate(x) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    held, found = None, []
+    for batch in batches:
+        if not len(batch):
+            continue
+        now = columns(batch)
+        if held is not None:
+            now = {k: np.concatenate([held[k], now[k]]) for k in now}
+        cuts = np.concatenate([[0], np.flatnonzero(edges(now)) + 1])
+        if dense is not None and len(cuts) > 1:
+            found.append(dense(now, cuts))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a > (1 if dense is None else DENSE):
+                found.append(solve({k: v[a:b] for k, v in now.items()}))
+        held = {k: v[cuts[-1] :] for k, v in now.items()}
+        if sum(len(u) for u, _ in found) > 50_000:
+            yield put(found)
+            found = []
+    if held is not None and len(held["id"]) > 1:
+        found.append(solve(held))
+    if found:
+        yield put(found)
+
+
 def links(leaves: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFrame:
     """Links ``u, v`` (ids) between distinct ``leaves``, each within ``budget``, with the components of all such pairs.
 
     Leaves of one ``root``, if they have that column, hang together already; those in each other's ``barred`` don't link.
+    A top of up to ``leaf`` leaves is a unit of its own, and its rows meet by (trie, top) in one shuffle. Only
+    crowded tops are walked down in Spark first.
     """
-    pairs = units(leaves, budget, leaf)
     also = [c for c in ("wide", "root", "barred") if c in leaves.columns]
-    rows = unit_rows(leaves, pairs)
+    top_of = {r["trie"]: r["top"] for r in leaves.select("trie", "top").distinct().collect()}  # a row for each trie
+    tops = crowds(leaves, leaf)
+    node = _top(F.col("key"), F.col("top"))
+    crowded = not tops.isEmpty()
+    calm = leaves
+    if crowded:
+        named = tops.select(F.col("trie").alias("_trie"), F.col("a").alias("_a"))
+        calm = leaves.join(few(named), (F.col("trie") == F.col("_trie")) & (node == F.col("_a")), "left_anti")
+
+    def run_tops(batches):
+        shift = np.array([BITS - top_of.get(t, BITS) for t in range(max(top_of, default=0) + 1)], "u8")
+
+        def edges(now):
+            prefix = now["key"].view("u8") >> shift[now["trie"]]
+            return (np.diff(now["trie"]) != 0) | (prefix[1:] != prefix[:-1])
+
+        solve = lambda part: _solve(part, len(part["id"]), top_of[int(part["trie"][0])], 0, budget)
+        return _by_unit(batches, edges, solve, None if "root" in also else lambda rows, cuts: _dense(rows, cuts, budget))
+
+    dealt = calm.select("trie", "key", "id", *also, node.alias("node")).repartition("trie", "node").sortWithinPartitions("trie", "key").drop("node")
+    found = dealt.mapInArrow(run_tops, "u long, v long")
+    if not crowded:
+        return found
+
+    def run_units(batches):
+        def edges(now):
+            return np.any([now[c][1:] != now[c][:-1] for c in UNIT], axis=0)
 
-    def run(batches):
         def solve(part):
-            trie_sort = np.argsort(part["key"].view("u8"), kind="stable")
-            depth, differ = int(part["depth"][0]), int(part["differ"][0])
-            if not part["alone"][0]:  # first the rows of one side, then those of the other
-                trie_sort = trie_sort[np.argsort(part["side"][trie_sort], kind="stable")]
-            key, order = part["key"].view("u8")[trie_sort], part["id"][trie_sort]
-            wide, group, apart = (part[c][trie_sort] if c in part else None for c in ("wide", "root", "barred"))
-            barred = set()
-            if apart is not None:
-                place = {x: i for i, x in enumerate(order.tolist())}
-                found = {(i, place[x]) for i, them in enumerate(apart) for x in them if x in place}
-                barred = found | {(j, i) for i, j in found}
-            n = len(key) if part["alone"][0] else int((part["side"] == 0).sum())
-            joined = walk(key[:n], None if part["alone"][0] else key[n:], depth, differ, budget, wide, group=group, barred=frozenset(barred), spare=SPARE * len(key) if "root" in part else 0)
-            return order[joined[:, 0]], order[joined[:, 1]]
-
-        def put(found):
-            u, v = (np.concatenate(x) for x in zip(*found, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-        names, held, found, size = ["unit", "trie", "depth", "side", "alone", "differ", "id", "key"], None, [], 0
-        for batch in batches:
-            now = {k: batch[k].to_numpy(zero_copy_only=False) for k in names}
-            if "root" in also:
-                now["root"] = batch["root"].to_numpy()
-                now["barred"] = np.empty(len(batch), object)
-                now["barred"][:] = batch["barred"].to_pylist()
-            if "wide" in also:
-                now["wide"] = np.frombuffer(b"".join(batch["wide"].to_pylist()), "<u8").reshape(len(batch), -1)
-            if held is not None:
-                now = {k: np.concatenate([held[k], now[k]]) for k in now}
-            cuts = np.concatenate([[0], np.flatnonzero((np.diff(now["unit"]) != 0) | (np.diff(now["trie"]) != 0)) + 1])
-            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-                if b - a > 1:
-                    found.append(solve({k: v[a:b] for k, v in now.items()}))
-                    size += len(found[-1][0])
-            held = {k: v[cuts[-1] :] for k, v in now.items()}
-            if size > 50_000:
-                yield put(found)
-                found, size = [], 0
-        if held is not None and len(held["unit"]) > 1:
-            found.append(solve(held))
-        if found:
-            yield put(found)
+            order = np.lexsort((part["key"].view("u8"), part["side"]))  # first the rows of one side, then those of the other
+            part = {k: v[order] for k, v in part.items()}
+            return _solve(part, int((part["side"] == 0).sum()), int(part["depth"][0]), int(part["differ"][0]), budget)
+
+        return _by_unit(batches, edges, solve)
 
-    ordered = rows.repartition("unit", "trie").sortWithinPartitions("unit", "trie")
-    return ordered.mapInArrow(run, "u long, v long")
+    low = leaves.join(few(named), (F.col("trie") == F.col("_trie")) & (node == F.col("_a")), "left_semi")
+    rows = unit_rows(low, units(low, tops, budget, leaf))
+    return found.union(rows.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(run_units, "u long, v long"))
 
 
 def near_duplicates(
     docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET, leaf: int = LEAF, text_col: str = "text"
 ) -> DataFrame:
     """``doc_id, fp, component_id`` for each row of ``docs``."""
-    prints = settle(fingerprints(docs, shingle, text_col))
-    classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(tries(classes.select("fp"), budget), budget, leaf))
-    rooted = settle(classes.join(roots, classes["fp"] == roots["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
+    with passing() as keep:
+        prints = keep(fingerprints(docs, shingle, text_col))
+        classes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+        roots = components(links(tries(classes.select("fp"), budget), budget, leaf))
+        rooted = settle(classes.join(roots, classes["fp"] == roots["u"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+        # Written before it is joined, so that a root of many classes can be split.
+        least = settle(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+        named = keep(rooted.join(least, "root").select(F.col("fp").alias("_fp"), "component_id"))
     return prints.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
@@ -428,19 +512,34 @@ def alike(links: DataFrame, texts: DataFrame, shingle: int, least: float) -> Dat
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, ok boolean")
 
 
-def alike_roots(prints: DataFrame, classes: DataFrame, shingle: int, leaf: int, likeness: float) -> DataFrame:
+def _row_key(docs: DataFrame, text_col: str) -> Column:
+    """A digest of a row's id and text."""
+    named = F.concat(F.coalesce(docs["doc_id"].cast("long").cast("string"), F.lit("")), F.lit(":"), text_of(docs, text_col))
+    return F.unhex(F.md5(named.cast("binary")))
+
+
+def _judged(found: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, likeness: float, text_col: str) -> DataFrame:
+    """``u, v, ok`` of the links ``found``. One text of each class at a link's end is looked up, and no other text moves
+    as long as these ends are ``few``."""
+    with passing() as keep:
+        ends = found.select(F.col("u").alias("id")).union(found.select("v")).distinct()
+        chosen = settle(ends.join(classes, "id").select("id", F.col("one.row").alias("row")))
+        named = docs.select(_row_key(docs, text_col).alias("row"), text_of(docs, text_col).alias("text"))
+        texts = settle(named.join(few(chosen), "row").select("id", "text"))
+        return keep(alike(found, texts, shingle, likeness).groupBy("u", "v").agg(F.first("ok").alias("ok")))
+
+
+def alike_roots(docs: DataFrame, classes: DataFrame, shingle: int, leaf: int, likeness: float, text_col: str = "text") -> DataFrame:
     """``u, root`` for each class that is linked to one of a lower id by verified links (see above)."""
     spark = classes.sparkSession
     near = spark.createDataFrame([], "u long, v long")
     apart, roots, walked = near, near.withColumnRenamed("v", "root"), classes.select("id", "wide")
     while True:
-        found = settle(links(wide_tries(walked), WORD_BUDGET, leaf).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        with passing() as keep:
+            found = keep(links(wide_tries(walked), WORD_BUDGET, leaf).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         if found.isEmpty():
             return roots
-        ends = found.select(F.col("u").alias("id")).union(found.select("v")).distinct()
-        chosen = ends.join(classes, "id").select("id", F.col("row").alias("_row"))
-        texts = settle(prints.select("row", "text").join(chosen, F.col("row") == F.col("_row")).select("id", "text"))
-        judged = settle(alike(found, texts, shingle, likeness))
+        judged = _judged(found, docs, classes, shingle, likeness, text_col)
         near = near.union(judged.filter("ok").select("u", "v"))
         failed = judged.filter("NOT ok").select("u", "v")
         roots = components(near)
@@ -449,12 +548,22 @@ def alike_roots(prints: DataFrame, classes: DataFrame, shingle: int, leaf: int,
             return roots
         named = settle(classes.select("id", "wide").join(roots, F.col("id") == F.col("u"), "left").select("id", "wide", F.coalesce("root", "id").alias("root")))
         edge = failed.select(F.col("u").alias("id")).union(failed.select("v"))
-        open_ = named.select("id", "root").join(edge, "id", "left_semi").select("root").distinct()
+        open_ = settle(named.select("id", "root").join(edge, "id", "left_semi").select("root").distinct())
         shut = apart.groupBy(F.col("u").alias("id")).agg(F.collect_set("v").alias("barred"))
         again = named.join(open_, "root", "left_semi").join(shut, "id", "left")
         walked = settle(again.select("id", "wide", "root", F.coalesce("barred", F.array().cast("array<long>")).alias("barred")))
 
 
+def _likeness(docs: DataFrame, shingle: int, leaf: int, text_col: str, likeness: float) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, id`` of each row, and ``id, one, root`` of each class; ``one`` is its least row, without an id last."""
+    prints = settle(wide_fingerprints(docs, shingle, text_col=text_col))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    classes = settle(prints.groupBy("id").agg(F.min("wide").alias("wide"), F.min(row).alias("one")))
+    roots = alike_roots(docs, classes, shingle, leaf, likeness, text_col)
+    rooted = classes.join(roots, classes["id"] == roots["u"], "left").select("id", "one", F.coalesce("root", "id").alias("root"))
+    return prints.select("doc_id", "id"), settle(rooted)
+
+
 def near_copies(
     docs: DataFrame, shingle: int, leaf: int = WIDE_LEAF, text_col: str = "text", likeness: float = LIKENESS
 ) -> DataFrame:
@@ -463,21 +572,22 @@ def near_copies(
     Texts of one set of shingles (they go by a 64-bit hash of it) have the same Jaccard similarity to all others, so one of
     them is compared. Texts that only have the same wide fingerprint are compared like any other candidates.
     """
-    prints = settle(wide_fingerprints(docs, shingle, text_col=text_col).withColumn("row", F.monotonically_increasing_id()))
-    one = F.min("row").alias("row")
-    classes = settle(prints.groupBy("id").agg(F.min("doc_id").alias("least"), F.min("wide").alias("wide"), one))
-    roots = alike_roots(prints, classes, shingle, leaf, likeness)
-    rooted = settle(classes.join(roots, classes["id"] == roots["u"], "left").select("id", "least", F.coalesce("root", "id").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(least, "root").select("id", "component_id")
-    return prints.select("doc_id", "id").join(named, "id").select("doc_id", "component_id")
+    with passing() as keep:
+        prints, rooted = _likeness(docs, shingle, leaf, text_col, likeness)
+        least = settle(rooted.groupBy("root").agg(F.min("one").alias("least")))
+        named = rooted.join(least, "root").select("id", F.col("least.doc_id").alias("component_id"))
+        return keep(prints.join(named, "id").select("doc_id", "component_id"))
 
 
 def keep_one(docs: DataFrame, shingle: int, text_col: str = "text") -> DataFrame:
-    """``docs`` with one document (that of the least id) of each group of near-duplicates.
+    """``docs`` with one row of each group of near-duplicates: that of the least id (null last), then of the least digest.
 
-    Rows that share that id all stay, as do all rows without an id of a group in which no row has one.
+    Of rows that share both, which are copies, any one stays, so rows that repeat wholly, without an id too, leave one.
     """
-    found = near_copies(docs, shingle, text_col=text_col)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_doc")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(F.col("_doc")), "left_semi")
+    with passing() as keep:
+        _, rooted = _likeness(docs, shingle, WIDE_LEAF, text_col, LIKENESS)
+        kept = keep(rooted.groupBy("root").agg(F.min("one").alias("one")).select(F.col("one.row").alias("row")))
+    (name,) = unused(docs, "row")
+    # Both steps go by the row's digest, so the texts move once; repeated rows meet as one from each task.
+    single = docs.withColumn(name, _row_key(docs, text_col)).dropDuplicates([name])
+    return single.join(kept, single[name] == kept["row"], "left_semi").select(*docs.columns)

@@ -1,6 +1,10 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, personal data, packing.
 
 Each stage takes what the one before it kept, written and read again, and decides for all of it.
+
+Defined results, for every stage: a null text counts as empty, so the first stage drops it, as it drops texts under 50 words;
+null ids are ids of their own, and rows that repeat wholly are copies, of which near-duplicates leave one; an empty table gives
+an empty one; other columns pass through, whatever their names; texts are taken whole, however long.
 """
 
 from __future__ import annotations
@@ -9,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heddle.llm import decontaminate, packing, pii, quality, simhash
-from heddle.llm.common import settle, table
+from heddle.llm.common import passing, table
 
 #: Near-duplicates are judged on shingles of five words.
 NEAR_SHINGLE = 5
@@ -31,8 +35,10 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data and what reveals it replaced; ``n_chars`` follows the new text."""
+    """All documents, with personal data and what reveals it replaced; ``n_chars``, if there, follows the new text."""
     clean = pii.sanitise(docs)
+    if "n_chars" not in docs.columns:
+        return clean
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
@@ -55,6 +61,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with passing() as keep:
+        for _, stage in STAGES[:-1]:
+            with passing() as hold:
+                docs = hold(stage(spark, docs, sf_dir))
+        return keep(STAGES[-1][1](spark, docs, sf_dir))

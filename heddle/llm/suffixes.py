@@ -17,11 +17,17 @@ and equal strings have equal anchors at equal places. So strings are gathered by
 3. Spans return to their texts by digest; repeated texts are cut once.
 
 An anchor with over ``HOT`` contexts is parted by slices of l and the bytes that all strings of a slice
-share, which keeps strings that could be equal together.
+share, which keeps strings that could be equal together. What the slices of a key hold is counted in Spark first:
+a slice found twice repeats whole, and one of each goes on. Keys that still have over ``HOT`` different slices are parted
+again by narrower ones, down to single strings, where equal ones are one slice. So no task sorts more than ``HOT`` rows of a key.
 
-Defined results: null and empty texts have no bytes; texts under ``length`` bytes keep all; repeated rows, equal
+Contexts and slices are compared as digests (64 bits of the anchor's hash and 64 of the context's, or 128 bits), never sent as a whole
+to be counted; contexts that are sorted are compared as bytes.
+
+Defined results: null and empty texts have no bytes; texts under ``length`` bytes keep all; long texts are
+cut in pieces of ``CHUNK`` bytes that overlap; repeated rows, equal
 and null ids are documents of their own (whole copies remove each other); an empty table gives
-no rows; other columns are dropped.
+no rows; other columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -34,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import settle, table, text_of
+from heddle.llm.common import passing, settle, table, text_of
 
 LENGTH = 400
 GRAM = 128
@@ -322,9 +328,27 @@ def _sort_contexts(length: int):
     return run
 
 
+def _slices(raw: bytes, anchor: bytes, start: int, q: int, low: int, high: int, length: int, step: int):
+    """Rows ``key, a, low, high, q, bytes`` of the strings that start ``low`` to ``high`` bytes before place ``q`` of ``raw``,
+    by slices of ``step`` values. ``start`` is the place of ``raw`` in its text."""
+    for s in range(low // step, high // step + 1):
+        lo, hi = s * step, min((s + 1) * step - 1, length)
+        # All strings of the slice hold the bytes from lo before the anchor.
+        core = hashlib.blake2b(raw[q - lo : q + length - hi], digest_size=16).digest()
+        least, most = max(lo, low), min(hi, high)
+        first = q - most
+        yield anchor + step.to_bytes(2) + s.to_bytes(2) + core, start + first, least, most, most, raw[first : q - least + length]
+
+
+def _table(out: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.binary(), pa.binary(), *[pa.int32()] * 4, pa.binary(), pa.int32()]
+    names = ["key", "digest", "a", "low", "high", "q", "bytes", "step"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+
 def _contexts(length: int, slices: int):
     """Texts with the runs of theirs that are to be compared, to one row per context (and slice, for hot anchors)."""
-    width = length  # l runs from 0 to length - gram at most
+    step = -(-length // slices)
 
     def run(batches):
         for batch in batches:
@@ -336,66 +360,99 @@ def _contexts(length: int, slices: int):
                 for r in wanted:
                     a, b, q, anchor = r["a"], r["b"], r["q"], r["anchor"].to_bytes(8, "little", signed=True)
                     if not r["hot"]:
-                        out.append((anchor, digest, a, q - b, q - a, q - a, raw[a : b + length]))
+                        out.append((anchor, digest, a, q - b, q - a, q - a, raw[a : b + length], 0))
                         continue
-                    step = -(-width // slices)
-                    for s in range((q - b) // step, (q - a) // step + 1):
-                        lo, hi = s * step, min((s + 1) * step - 1, length)
-                        # All strings of the slice hold the bytes from lo before the anchor.
-                        core = hashlib.blake2b(raw[q - lo : q + length - hi], digest_size=12).digest()
-                        low, high = max(lo, q - b), min(hi, q - a)
-                        first = q - high
-                        out.append((anchor + bytes([s]) + core, digest, first, low, high, q - first, raw[first : q - low + length]))
+                    for key, *rest in _slices(raw, anchor, 0, q, q - b, q - a, length, step):
+                        out.append((key, digest, *rest, step))
+            if out:
+                yield _table(out)
+
+    return run
+
+
+def _narrower(length: int, slices: int):
+    """Slices of keys that hold too many, to narrower ones."""
+
+    def run(batches):
+        names = ["key", "digest", "a", "low", "high", "q", "bytes", "step"]
+        for batch in batches:
+            out: list[tuple] = []
+            for key, digest, a, low, high, q, raw, step in zip(*(batch[n].to_pylist() for n in names), strict=True):
+                step = -(-step // slices)
+                out += [(k, digest, *rest, step) for k, *rest in _slices(raw, key[:8], a, q, low, high, length, step)]
             if out:
-                kinds = [pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
-                names = ["key", "digest", "a", "low", "high", "q", "bytes"]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names
-                )
+                yield _table(out)
 
     return run
 
 
 RUNS = "digest binary, anchor long, context long, a int, b int, q int"
-CONTEXTS = "key binary, digest binary, a int, low int, high int, q int, bytes binary"
+CONTEXTS = "key binary, digest binary, a int, low int, high int, q int, bytes binary, step int"
+
+
+def _runs_to_compare(docs: DataFrame, length: int, gram: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """``digest, start, end`` of runs whose context repeats whole, and ``digest, runs`` to be compared."""
+    with passing() as keep:
+        cut = settle(docs.select("text").mapInArrow(_cut_runs(length, gram), RUNS))
+        # Copies of a text give the same runs; `copies` of a context counts them all.
+        counts = settle(cut.groupBy("anchor", "context").agg(
+            F.count("*").alias("copies"), F.min(F.struct("digest", "a", "b", "q")).alias("one")
+        ))
+        again = counts.filter("copies > 1").select("anchor", "context")
+        whole = cut.join(again, ["anchor", "context"]).select("digest", F.col("a").alias("start"), (F.col("b") + length).alias("end"))
+        whole = keep(whole.distinct())
+        several = settle(counts.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1"))
+        some = counts.join(several, "anchor").select(
+            "one.digest", F.struct("one.a", "one.b", "one.q", "anchor", (F.col("contexts") > hot).alias("hot")).alias("run")
+        )
+        return whole, keep(some.groupBy("digest").agg(F.collect_list("run").alias("runs")))
+
+
+def _hot_slices(rows: DataFrame, length: int, hot: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Spans of slices that repeat whole, and the slices to be sorted, ``hot`` of a key at most."""
+    spans, sorted_ = [], []
+    content = F.md5(F.concat(F.encode(F.concat_ws(",", "low", "high", F.lit("")), "UTF-8"), "bytes"))
+    while not rows.isEmpty():
+        rows = rows.withColumn("content", F.unhex(content))
+        one = F.struct("digest", "a", "low", "high", "q", "bytes", "step")
+        counts = settle(rows.groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(one).alias("one")))
+        again = counts.filter("copies > 1").select("key", "content")
+        end = F.col("a") + F.col("high") - F.col("low") + length
+        spans.append(settle(rows.join(again, ["key", "content"]).select("digest", F.col("a").alias("start"), end.alias("end"))))
+        sizes = settle(counts.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+        left = settle(counts.join(sizes, "key").select("key", "one.*", "n"))
+        sorted_.append(left.filter(F.col("n") <= hot).drop("n"))
+        rows = settle(left.filter(F.col("n") > hot).drop("n").mapInArrow(_narrower(length, SLICES), CONTEXTS))
+    return spans, sorted_
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """``digest, spans``: for distinct texts (``docs`` has ``digest`` and ``text``) the byte ranges to remove.
-
-    Texts found more than once are whole copies and have a range over all their bytes besides.
-    """
-    cut = settle(docs.select("text").mapInArrow(_cut_runs(length, gram), RUNS))
-    # Copies of a text give the same runs; `copies` of a context counts them all.
-    counts = cut.groupBy("anchor", "context").agg(
-        F.count("*").alias("copies"), F.min(F.struct("digest", "a", "b", "q")).alias("one")
-    )
-    counts = settle(counts)
-    several = counts.groupBy("anchor").agg(F.count("*").alias("contexts")).filter("contexts > 1")
-    whole = cut.join(counts.filter("copies > 1").select("anchor", "context"), ["anchor", "context"]).select(
-        "digest", F.col("a").alias("start"), (F.col("b") + length).alias("end")
-    )
-    some = counts.join(several, "anchor").select(
-        "one.digest", F.struct("one.a", "one.b", "one.q", "anchor", (F.col("contexts") > hot).alias("hot")).alias("run")
-    )
-    wanted = some.groupBy("digest").agg(F.collect_list("run").alias("runs"))
-    texts = docs.select("digest", "text").dropDuplicates(["digest"])
-    sorted_ = texts.join(wanted, "digest").mapInArrow(_contexts(length, SLICES), CONTEXTS)
-    compared = sorted_.repartition("key").sortWithinPartitions("key", "digest", "a").mapInArrow(
-        _sort_contexts(length), "digest binary, start int, end int"
-    )
-    # A compared context that stands for copies within its own text, or that repeats whole, is in `whole`.
-    both = settle(whole.distinct().union(compared))
-    return both.groupBy("digest").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    """``digest, spans``: for distinct texts (``docs`` has ``digest`` and ``text``) the byte ranges to remove."""
+    with passing() as keep:
+        whole, wanted = _runs_to_compare(docs, length, gram, hot)
+        texts = docs.select("digest", "text").dropDuplicates(["digest"])
+        rows = settle(texts.join(wanted, "digest").select("digest", "text", "runs").mapInArrow(_contexts(length, SLICES), CONTEXTS))
+        spans, sorted_ = _hot_slices(rows.filter("step > 0"), length, hot)
+        few_ = rows.filter("step = 0")
+        for more in sorted_:
+            few_ = few_.unionByName(more)
+        compared = few_.drop("step").repartition("key").sortWithinPartitions("key", "digest", "a").mapInArrow(
+            _sort_contexts(length), "digest binary, start int, end int"
+        )
+        both = settle(compared)
+        for more in [whole, *spans]:
+            both = both.union(more)
+        return keep(both.groupBy("digest").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """Per row: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans`` and, if asked for, the ``kept`` bytes."""
     named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
     keyed = named.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
-    spans = repeated_spans(keyed, length)
-    copies = keyed.groupBy("digest").agg(F.count("*").alias("copies")).filter("copies > 1")
-    known = spans.join(copies, "digest", "full").withColumnRenamed("digest", "_digest")
+    with passing() as keep:
+        spans = repeated_spans(keyed, length)
+        copies = keyed.groupBy("digest").agg(F.count("*").alias("copies")).filter("copies > 1")
+        known = keep(spans.join(copies, "digest", "full").withColumnRenamed("digest", "_digest"))
 
     def cut(batches):
         for batch in batches:

@@ -5,35 +5,36 @@ of its shingles of ``SHINGLE`` words with their places, and a document contains
 follow in place. Containment must be complete, so the necessary prefix of a window's shingles, ordered by
 rarity over all documents, is its rarest shingle alone:
 
-1. Every document shingle that any window has is found by one join (the item side is small and
-   broadcast, once its size is checked); these hits are written, with a row for each document.
-2. Hits are counted per shingle, which orders each window's shingles by rarity.
-3. Hits of a window's rarest shingle are candidates, if the window fits between the document's
+1. One pass over the documents finds the shingles that any window has (the item side is
+   broadcast where its counted rows are few). These hits are written, with a row for each document, so the
+   texts are cut once, for the counts and for the join.
+2. Hits are counted per shingle over all documents, which orders each window's shingles by rarity.
+3. The prefix join: hits of a window's rarest shingle are candidates, if the window fits between the document's
    first and last word (length and positional bounds).
 4. A candidate is verified by the shingles at the window's two ends, which together are all its
    words; shingles are compared as text, so the verdict is exact.
+5. Items meet verified windows last, so a window of many items is no list anywhere.
 
-Everything is a DataFrame expression. Rows are keyed by a digest of the whole row, so hot texts
+Everything is a DataFrame expression. Texts are keyed by id and digest, so copies
 only meet as counts.
 
 Defined results: null and empty texts have no words and no hits; items without words are ignored; repeated
-items count once; repeated documents, and documents with null ids, are judged on their own; an
-empty table on either side gives no hits; other columns pass through.
+items count once; items without an id are one item, its id written as nothing; repeated documents, and documents
+with null ids, are judged on their own; a long text is cut whole, in one row's array; ties in rarity go to the first place; an
+empty table on either side gives no hits; other columns, whatever their names, are dropped by
+``contamination`` and kept by ``clean``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import settle, table, text_of
+from heddle.llm.common import few, passing, settle, table, text_of, unused
 
 WINDOW = 10
 SHINGLE = 5
 
-#: Item shingles up to this many rows are broadcast (about 60 MB); more are joined by shuffling.
-BROADCAST_ROWS = 500_000
-
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: ASCII characters that separate words: all but digits and letters.
 _BREAKS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
@@ -53,7 +54,7 @@ def shingles(found: Column, size: int) -> Column:
 
 def windows(items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """``item_id, window, n_words, size`` and the place ``at`` and text ``shingle`` of each of its shingles."""
-    held = items.select(items["item_id"].cast("string").alias("item_id"), words(text_of(items)).alias("w")).filter(F.size("w") > 0)
+    held = items.select(F.coalesce(items["item_id"].cast("string"), F.lit("")).alias("item_id"), words(text_of(items)).alias("w")).filter(F.size("w") > 0)
     n = F.least(F.size("w"), F.lit(window))
     cut = held.select(
         "item_id",
@@ -72,14 +73,18 @@ def contamination(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, text_col: str = "text"
 ) -> DataFrame:
     """One row per distinct ``(doc_id, text)``: ``doc_id, digest, n_words, n_hit, n_items, item_ids`` and ``copies``, the rows it stands for."""
+    with passing() as keep:
+        return keep(_contamination(docs, items, window, shingle, text_col))
+
+
+def _contamination(docs: DataFrame, items: DataFrame, window: int, shingle: int, text_col: str) -> DataFrame:
     cut = settle(windows(items, window, shingle))
-    sizes = cut.select("size", "shingle").distinct()
-    few = sizes.count() <= BROADCAST_ROWS
-    small = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    sizes = settle(cut.select("size", "shingle").distinct())
     short = sorted(r["size"] for r in sizes.select("size").distinct().collect())  # at most `shingle` rows
 
     text = text_of(docs, text_col)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("digest"), words(text).alias("w"))
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), words(text).alias("w"))
+
     # One array of shingles with their places; place -1 is the row that stands for the document.
     def placed(k: int) -> Column:
         return F.transform(
@@ -87,34 +92,33 @@ def contamination(
         )
 
     mark = F.array(F.struct(F.lit(-1).alias("at"), F.lit(0).alias("size"), F.lit("").alias("shingle")))
-    each = rows.select("doc_id", "digest", F.size("w").alias("n_words"), F.explode(F.concat(mark, *map(placed, short))).alias("s")).select(
+    # Counted below the explosion, so that the words themselves are not copied to each of its rows.
+    counted = rows.withColumn("n_words", F.size("w"))
+    each = counted.select("doc_id", "digest", "n_words", F.explode(F.concat(mark, *map(placed, short))).alias("s")).select(
         "doc_id", "digest", "n_words", "s.*"
     )
-    wanted = sizes.union(docs.sparkSession.range(1).select(F.lit(0).alias("size"), F.lit("").alias("shingle")))
-    hits = settle(each.join(small(wanted), ["size", "shingle"]).select("doc_id", "digest", "n_words", "at", "size", "shingle"))
+    wanted = settle(sizes.union(docs.sparkSession.range(1).select(F.lit(0).alias("size"), F.lit("").alias("shingle"))))
+    hits = settle(each.join(few(wanted), ["size", "shingle"]).select("doc_id", "digest", "n_words", "at", "size", "shingle"))
     whole = hits.filter("at = -1").groupBy("doc_id", "digest", "n_words").agg(F.count("*").alias("copies"))
     found = hits.filter("at >= 0")
 
     rarity = found.groupBy("size", "shingle").agg(F.count("*").alias("seen"))
-    order = Window.partitionBy("item_id", "window").orderBy("seen", "at")
-    # A window with a shingle that no document has drops out here.
-    ranked = cut.join(rarity, ["size", "shingle"]).withColumn("rarest", F.row_number().over(order))
-    complete = F.count("*").over(Window.partitionBy("item_id", "window")) == F.col("n_words") - F.col("size") + 1
-    prefix = ranked.withColumn("complete", complete).filter("complete and rarest = 1").select("item_id", "window", "n_words", "size", "at", "shingle")
-    ends = cut.groupBy("window", "n_words", "size").agg(
-        F.min_by("shingle", "at").alias("first"), F.max_by("shingle", "at").alias("last")
-    )
-    # Items with equal windows share one candidate.
-    shared = prefix.groupBy("window", "n_words", "size", "at", "shingle").agg(F.collect_set("item_id").alias("items"))
-    probe = shared.join(ends, ["window", "n_words", "size"]).select(
-        "size", "shingle", F.col("n_words").alias("length"), F.col("at").alias("offset"), "first", "last", "items"
-    )
+    # Items with equal windows share one.
+    each_window = cut.select("window", "n_words", "size", "at", "shingle").distinct()
+    ranked = each_window.join(rarity, ["size", "shingle"])  # a window with a shingle that no document has drops out below
+    probe = ranked.groupBy("window", "n_words", "size").agg(
+        F.count("*").alias("seen"), F.min(F.struct("seen", "at", "shingle")).alias("rarest"),
+        F.min_by("shingle", "at").alias("first"), F.max_by("shingle", "at").alias("last"),
+    )
+    probe = settle(probe.filter(F.col("seen") == F.col("n_words") - F.col("size") + 1).select(
+        "window", "size", "rarest.shingle", F.col("n_words").alias("length"), F.col("rarest.at").alias("offset"), "first", "last"
+    ))
     start = F.col("at") - F.col("offset")
     possible = (
-        found.join(small(probe), ["size", "shingle"])
+        found.join(few(probe), ["size", "shingle"])
         .withColumn("start", start)
         .filter((F.col("start") >= 0) & (F.col("start") + F.col("length") <= F.col("n_words")))
-        .select("doc_id", "digest", "size", "start", "length", "first", "last", "items")
+        .select("doc_id", "digest", "size", "start", "length", "first", "last", "window")
     )
     place = found.select("doc_id", "digest", "size", F.col("at").alias("_at"), F.col("shingle").alias("_s")).distinct()
 
@@ -125,7 +129,7 @@ def contamination(
 
     verified = standing(possible, F.col("d.start"), "first")
     verified = standing(verified, F.col("d.start") + F.col("d.length") - F.col("d.size"), "last")
-    verified = settle(verified.select("doc_id", "digest", "start", "length", "items").distinct())
+    verified = settle(verified.select("doc_id", "digest", "start", "length", "window").distinct())
     hit = (
         verified.select("doc_id", "digest", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("word"))
         .distinct()
@@ -133,11 +137,11 @@ def contamination(
         .agg(F.count("*").alias("n_hit"))
     )
     named = (
-        verified.select("doc_id", "digest", F.explode("items").alias("item"))
-        .distinct()
+        verified.select("doc_id", "digest", "window").distinct()
+        .join(cut.select("window", "item_id").distinct(), "window")
         .groupBy("doc_id", "digest")
-        .agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
-    )
+        .agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+    )
     both = hit.join(named, hit["doc_id"].eqNullSafe(named["doc_id"]) & (hit["digest"] == named["digest"])).select(
         hit["doc_id"].alias("_doc"), hit["digest"].alias("_digest"), "n_hit", "item_ids"
     )
@@ -151,9 +155,12 @@ def contamination(
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without those that hold a window of any item."""
-    bad = contamination(docs, items, text_col=text_col).filter("n_hit > 0").select("digest").distinct()
-    keyed = docs.withColumn("_digest", F.md5(text_of(docs, text_col).cast("binary")))
-    return keyed.join(bad, keyed["_digest"] == bad["digest"], "left_anti").drop("_digest")
+    with passing() as keep:
+        judged = contamination(docs, items, text_col=text_col)
+        bad = keep(judged.filter("n_hit > 0").select("digest").distinct())
+    (name,) = unused(docs, "digest")
+    keyed = docs.withColumn(name, F.unhex(F.md5(text_of(docs, text_col).cast("binary"))))
+    return keyed.join(few(bad), keyed[name] == bad["digest"], "left_anti").select(*docs.columns)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -168,13 +175,13 @@ def op7_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE_SQL = r"""
-WITH d AS (
-  SELECT doc_id, list_filter(string_split(translate(coalesce(text, ''),
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || (SELECT string_agg(chr(c::INT), '' ORDER BY c) FROM range(1, 128) t(c)
       WHERE NOT regexp_matches(chr(c::INT), '[0-9A-Za-z]')),
     'abcdefghijklmnopqrstuvwxyz' || repeat(' ', 65)), ' '), lambda x: x <> '') AS w FROM documents),
 i AS (
-  SELECT item_id::VARCHAR AS item_id, list_filter(string_split(translate(coalesce(text, ''),
+  SELECT coalesce(item_id::VARCHAR, '') AS item_id, list_filter(string_split(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || (SELECT string_agg(chr(c::INT), '' ORDER BY c) FROM range(1, 128) t(c)
       WHERE NOT regexp_matches(chr(c::INT), '[0-9A-Za-z]')),
     'abcdefghijklmnopqrstuvwxyz' || repeat(' ', 65)), ' '), lambda x: x <> '') AS w FROM benchmark),
@@ -183,14 +190,14 @@ iw AS (
   FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM i WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM iw),
 dw AS (
-  SELECT doc_id, k, n, array_to_string(w[k : k + n - 1], ' ') AS g
-  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
-m AS (SELECT doc_id, k, dw.n, item_id FROM dw JOIN iw ON dw.g = iw.g AND dw.n = iw.n),
-h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM m) GROUP BY doc_id),
+  SELECT rid, k, n, array_to_string(w[k : k + n - 1], ' ') AS g
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT rid, k, dw.n, item_id FROM dw JOIN iw ON dw.g = iw.g AND dw.n = iw.n),
+h AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS p FROM m) GROUP BY rid),
 t AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
-  FROM (SELECT DISTINCT doc_id, item_id FROM m) GROUP BY doc_id)
+  SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT rid, item_id FROM m) GROUP BY rid)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+FROM d LEFT JOIN h USING (rid) LEFT JOIN t USING (rid)
 """

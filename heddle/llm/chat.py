@@ -16,9 +16,10 @@ loss mask; each assistant text is, in the one window whose span holds it.
 Only a single turn longer than stride and slack, or a system turn over half the budget, goes over it.
 
 Prefix sums are taken in blocks of turn numbers and the blocks' totals are added, so a conversation that
-holds a third of all turns is spread out. Defined results: null roles and texts are empty; turns are ordered by number (null
+holds a third of all turns is spread out. Spans, system turns and history are chosen on rows of numbers; heads and bodies
+are fetched once for the turns of each window. Defined results: null roles and texts are empty; turns are ordered by number (null
 first), then role, then text; repeated rows are turns of their own; rows without conversation id
-form one; other columns are dropped; an empty table has no windows.
+form one; a turn is never cut, however long its text; other columns, whatever their names, are dropped; an empty table has no windows.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import settle, table
+from heddle.llm.common import passing, settle, table
 
 BUDGET = 2048
 LOSS_ROLE = "assistant"
@@ -50,78 +51,77 @@ def tokens(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4).cast("long") + 4
 
 
-def _turns(rows: DataFrame, budget: int, block_turns: int) -> DataFrame:
-    """Each turn with its place ``pos``, its token range ``c0 c1``, its span, and the conversation's system turn."""
+#: A conversation: its id (0 where it has none) and whether it has none.
+CONVERSATION = ["conv", "none"]
+
+
+def _turns(rows: DataFrame, budget: int, loss_role: str, block_turns: int) -> tuple[DataFrame, DataFrame]:
+    """Each turn by conversation and place ``pos``: its ``head`` and ``body``, and in numbers alone its token range ``c0 c1``,
+    its span, whether its text is masked, and the place of the conversation's system turn."""
     text = lambda c: F.coalesce(rows[c].cast("string"), F.lit(""))
+    conv, turn = rows["conv_id"].cast("long"), rows["turn"].cast("long")
     turns = rows.select(
-        rows["conv_id"].cast("long").alias("conv_id"), rows["turn"].cast("long").alias("turn"),
+        F.coalesce(conv, F.lit(0)).alias("conv"), conv.isNull().alias("none"), turn.alias("turn"),
         text("role").alias("role"), text("text").alias("text"),
+        F.coalesce(F.floor(turn / block_turns), F.lit(-(1 << 62))).alias("block"),
     )
     cut = turns.withColumns({
         "head": F.concat(F.lit(HEAD), F.replace(escape(F.col("role")), F.lit(":"), F.lit("\\:")), F.lit(MIDDLE)),
         "body": escape(F.col("text")),
         "tok": tokens(F.col("text")),
-        "block": F.floor(F.col("turn") / block_turns),
     }).drop("text")
-    inside = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "role", "body")
+    inside = Window.partitionBy(*CONVERSATION, "block").orderBy(F.col("turn").asc_nulls_first(), "role", "body")
     ranked = cut.withColumns({"pos": F.row_number().over(inside), "c1": F.sum("tok").over(inside.rowsBetween(Window.unboundedPreceding, 0))})
-    sizes = cut.groupBy("conv_id", "block").agg(F.sum("tok").alias("tok"), F.count("*").alias("n"))
-    along = Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first())
+    sizes = cut.groupBy(*CONVERSATION, "block").agg(F.sum("tok").alias("tok"), F.count("*").alias("n"))
+    along = Window.partitionBy(*CONVERSATION).orderBy("block")
     before = sizes.select(
-        F.col("conv_id").alias("_c"), F.col("block").alias("_b"),
-        (F.sum("tok").over(along) - F.col("tok")).alias("_tok"), (F.sum("n").over(along) - F.col("n")).alias("_n"),
-    )
-    same = F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("block").eqNullSafe(F.col("_b"))
-    placed = settle(
-        ranked.join(before, same)
-        .withColumns({"pos": F.col("pos") + F.col("_n"), "c1": F.col("c1") + F.col("_tok")})
-        .withColumn("c0", F.col("c1") - F.col("tok"))
-        .drop("turn", "block", "_c", "_b", "_tok", "_n")
+        *CONVERSATION, "block", (F.sum("tok").over(along) - F.col("tok")).alias("_tok"), (F.sum("n").over(along) - F.col("n")).alias("_n")
     )
-    system = (
+    placed = settle(ranked.join(before, [*CONVERSATION, "block"]).select(
+        *CONVERSATION, (F.col("pos") + F.col("_n")).alias("pos"), (F.col("c1") + F.col("_tok")).alias("c1"), "tok", "role", "head", "body"
+    ))
+    system = settle(
         placed.filter(F.col("role") == SYSTEM_ROLE)
-        .groupBy("conv_id")
-        .agg(F.min_by(F.struct("pos", "head", "body", "tok"), "pos").alias("system"))
-        .withColumnRenamed("conv_id", "_c")
+        .groupBy(*CONVERSATION)
+        .agg(F.min(F.struct("pos", "tok")).alias("system"))
     )
-    known = placed.join(system, F.col("conv_id").eqNullSafe(F.col("_c")), "left").drop("_c")
+    known = placed.select(
+        *CONVERSATION, "pos", (F.col("c1") - F.col("tok")).alias("c0"), "c1", (F.col("role") != loss_role).cast("int").alias("masked")
+    ).join(system, CONVERSATION, "left")
     stride = F.greatest(
         F.lit(budget - budget // 4 - budget // 8) - F.coalesce(F.col("system.tok"), F.lit(0)), F.lit(budget // 8)
     ).cast("long")
     start, end = F.expr("c0 div stride"), F.expr("(c1 - 1) div stride")
     over = (start != end) & (F.col("c1") - (start + 1) * F.col("stride") > budget // 4)
-    return known.withColumn("stride", stride).withColumn("span", start * 2 + over.cast("long"))
+    spanned = known.withColumn("stride", stride).withColumn("span", start * 2 + over.cast("long"))
+    return placed.select(*CONVERSATION, "pos", "head", "body"), spanned.select(*CONVERSATION, "pos", "c0", "c1", "masked", "span", F.col("system.pos").alias("spos"))
 
 
 def windows(
     rows: DataFrame, budget: int = BUDGET, loss_role: str = LOSS_ROLE, block_turns: int = BLOCK_TURNS
 ) -> DataFrame:
     """``conv_id, window, n_repeated, n_new, formatted, loss``: the mask as ranges of code points, end exclusive."""
-    history = budget // 8
-    turns = settle(_turns(rows, budget, block_turns))
-    spans = turns.groupBy("conv_id", "span").agg(F.min("c0").alias("from"), F.min("pos").alias("first"), F.min_by("system", "pos").alias("system"))
-    item = lambda repeated, p="": F.struct(
-        F.col(f"{p}pos").alias("pos"), F.lit(repeated).alias("repeated"),
-        F.col(f"{p}head").alias("head"), F.col(f"{p}body").alias("body"),
-    )
-    own = turns.select(
-        "conv_id", "span",
-        F.struct("pos", (F.col("role") != loss_role).cast("int").alias("repeated"), "head", "body").alias("item"), F.lit(1).alias("new"),
-    )
+    with passing() as keep:
+        return keep(_windows(rows, budget, loss_role, block_turns))
+
+
+def _windows(rows: DataFrame, budget: int, loss_role: str, block_turns: int) -> DataFrame:
+    history, span = budget // 8, [*CONVERSATION, "span"]
+    placed, turns = _turns(rows, budget, loss_role, block_turns)
+    turns = settle(turns)
+    spans = settle(turns.groupBy(*span).agg(F.min("c0").alias("from"), F.min("pos").alias("first"), F.max("spos").alias("spos")))
+    own = turns.select(*span, "pos", F.col("masked").alias("repeated"), F.lit(1).alias("new"))
     # A stride is at least as long as the history, so history reaches back four spans at most.
-    near = turns.filter((F.col("pos") != F.coalesce("system.pos", F.lit(-1)))).select(
-        F.col("conv_id").alias("_c"), F.explode(F.sequence(F.col("span") + 1, F.col("span") + 4)).alias("_s"), "c0", "c1", "pos", "head", "body"
+    near = turns.filter(F.col("pos") != F.coalesce("spos", F.lit(-1))).select(
+        *CONVERSATION, F.explode(F.sequence(F.col("span") + 1, F.col("span") + 4)).alias("span"), "c0", "c1", "pos"
     )
-    spot = spans.select("conv_id", "span", "from")
-    past = spot.join(near, spot["conv_id"].eqNullSafe(near["_c"]) & (spot["span"] == near["_s"])).filter(
-        (F.col("c1") <= F.col("from")) & (F.col("c0") >= F.col("from") - history)
+    past = near.join(spans.select(*span, "from"), span).filter((F.col("c1") <= F.col("from")) & (F.col("c0") >= F.col("from") - history))
+    repeated = past.select(*span, "pos", F.lit(2).alias("repeated"), F.lit(0).alias("new"))
+    system = spans.filter(F.col("spos") < F.col("first")).select(*span, F.col("spos").alias("pos"), F.lit(2).alias("repeated"), F.lit(0).alias("new"))
+    chosen = own.union(repeated).union(system).join(placed, [*CONVERSATION, "pos"])
+    joined = chosen.groupBy(*span).agg(
+        F.sort_array(F.collect_list(F.struct("pos", "repeated", "head", "body"))).alias("items"), F.sum("new").alias("n_new")
     )
-    repeated = past.select("conv_id", "span", item(2).alias("item"), F.lit(0).alias("new"))
-    system = spans.filter(F.col("system.pos") < F.col("first")).select("conv_id", "span", item(2, "system.").alias("item"), F.lit(0).alias("new"))
-    joined = (
-        own.union(repeated).union(system).groupBy("conv_id", "span")
-        .agg(F.sort_array(F.collect_list("item")).alias("items"), F.sum("new").alias("n_new"))
-    )
     line = lambda x: F.concat(x["head"], x["body"], F.lit(TAIL))
     empty = F.array().cast("array<struct<start:bigint,end:bigint>>")
 
@@ -136,7 +136,8 @@ def windows(
 
     walk = F.aggregate("items", F.struct(F.lit(0).cast("long").alias("at"), empty.alias("loss")), step, lambda acc: acc["loss"])
     return joined.select(
-        "conv_id", F.col("span").alias("window"), (F.size("items") - F.col("n_new")).alias("n_repeated"), "n_new",
+        F.when(~F.col("none"), F.col("conv")).alias("conv_id"), F.col("span").alias("window"),
+        (F.size("items") - F.col("n_new")).alias("n_repeated"), "n_new",
         F.array_join(F.transform("items", line), "").alias("formatted"), walk.alias("loss"),
     )
 
@@ -169,7 +170,7 @@ def op1_chat_formatting(spark, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"),
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    back = read_back(settle(windows(rows)))
+    back = read_back(windows(rows))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     parts = back.select(
         "conv_id", "formatted_chars", F.size("turns").alias("n"), F.length("loss_text").alias("loss_chars"),

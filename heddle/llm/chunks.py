@@ -1,18 +1,21 @@
 """Substring dedup by content-defined chunks.
 
 A gear hash rolls over each text's bytes: every step shifts it by one and adds a byte's random
-value, so it depends on the last 32 bytes alone. A chunk ends where the hash's top bits are zero (not
+value, so it depends on the last 16 bytes alone. A chunk ends where the hash's top bits are zero (not
 before ``SMALLEST`` bytes, and at ``LARGEST`` at the latest), so the same passage falls into the same chunks
 wherever it stands, whatever is inserted before it. Chunks are compared by 128-bit digest.
 
 A chunk that occurs more than once is repeated; the occurrence in the least document (by id, digest
 and place) is the first. Chunks that lie side by side and are repeated form a run; runs under
 ``RUN`` bytes are left alone, as short strings are common in any language. The rest is removed from
-all documents but those that hold the first occurrence.
+all documents but those that hold the first occurrence. A passage's edges lie within chunks that differ, so some
+30 bytes at its start and 15 at its end are not seen as repeated.
 
-Defined results: null and empty texts have no chunks; rows that repeat wholly (id and text) are one document and give
-equal rows; equal or null ids with other texts are documents of their own (a null id is least); an empty
-table gives no rows; other columns are dropped.
+All chunks are counted by digest alone; places follow for those found again, and texts move once, at the end.
+
+Defined results: null and empty texts have no chunks; a long text is cut whole; rows that repeat wholly (id and text) are one document and give
+equal rows (its chunks count once for each row); equal or null ids with other texts are documents of their own (a null id is least); an empty
+table gives no rows; other columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -25,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import settle, table, text_of
+from heddle.llm.common import passing, settle, table, text_of
 
-SMALLEST = 24
+SMALLEST = 16
 LARGEST = 256
-MASK_BITS = 5
+MASK_BITS = 4
 RUN = 160
 
 CHUNKS = "doc_id long, digest binary, chunk binary, start int, size int"
@@ -37,15 +40,15 @@ CHUNKS = "doc_id long, digest binary, chunk binary, start int, size int"
 
 @lru_cache(maxsize=1)
 def _gear() -> np.ndarray:
-    return np.random.default_rng(20240502).integers(0, 1 << 32, 256, dtype="u4")
+    return np.random.default_rng(20240502).integers(0, 1 << 16, 256, dtype="u2")
 
 
 def gear_hashes(data: bytes) -> np.ndarray:
-    """The gear hash after each byte: sum of value(byte i - j) << j, in 32 bits, by doubling."""
+    """The gear hash after each byte: sum of value(byte i - j) << j, in 16 bits, by doubling."""
     h = _gear()[np.frombuffer(data, "u1")]
-    for k in (1, 2, 4, 8, 16):
+    for k in (1, 2, 4, 8):
         more = h.copy()
-        more[k:] += h[:-k] << np.uint32(k)
+        more[k:] += h[:-k] << np.uint16(k)
         h = more
     return h
 
@@ -53,7 +56,7 @@ def gear_hashes(data: bytes) -> np.ndarray:
 def cuts(data: bytes, smallest: int = SMALLEST, largest: int = LARGEST, bits: int = MASK_BITS) -> list[int]:
     """Ends of the chunks of ``data``."""
     ends, at = [], 0
-    for c in (np.flatnonzero(gear_hashes(data) >> np.uint32(32 - bits) == 0) + 1).tolist() if data else []:
+    for c in (np.flatnonzero(gear_hashes(data) >> np.uint16(16 - bits) == 0) + 1).tolist() if data else []:
         while c - at > largest:
             at += largest
             ends.append(at)
@@ -101,14 +104,16 @@ def dedup(docs: DataFrame, run: int = RUN, text_col: str = "text", keep_text: bo
     ``repeated`` has the ranges that other places hold as well, ``removed`` those that are not first.
     """
     named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    cut = chunks(named)
-    place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "digest", "start")
-    counts = settle(cut.groupBy("chunk").agg(F.count("*").alias("n"), F.min(place).alias("first"))).filter("n > 1")
-    held = cut.join(counts, "chunk").select(
-        "doc_id", "digest", F.struct("start", "size", (place == F.col("first")).alias("first")).alias("part")
-    )
-    parts = held.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("part")).alias("parts"))
-    parts = parts.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "parts")
+    with passing() as keep:
+        cut = chunks(named)
+        again = settle(cut.groupBy("chunk").agg(F.count("*").alias("n")).filter("n > 1").select("chunk"))
+        held = settle(cut.join(again, "chunk"))
+        place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "digest", "start")
+        # Written before it is joined, so that a chunk of many places can be split.
+        firsts = settle(held.groupBy("chunk").agg(F.min(place).alias("least")))
+        part = F.struct("start", "size", (place == F.col("least")).alias("first"))
+        parts = held.join(firsts, "chunk").groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set(part)).alias("parts"))
+        parts = keep(parts.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "parts"))
 
     def apply(batches):
         for batch in batches:

@@ -15,8 +15,9 @@ replaces the four kinds by placeholders, generalises such terms, and removes tho
 Terms are letter sequences of at least three letters, lower-cased. Only documents with an entity send rows on;
 term counts are summed per worker before they are shuffled. A hot entity meets as sums.
 
-Defined results: null texts are empty; offsets are code points; rows that repeat wholly give equal rows; equal or null
-ids with other texts are documents of their own; an empty table gives no rows.
+Defined results: null texts are empty and stay null; offsets are code points; rows that repeat wholly give equal rows; equal or null
+ids with other texts are documents of their own; a long text is searched whole, in time that grows with its length
+and its entities; an empty table gives no rows; ``find`` drops other columns, ``sanitise`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import settle, table, text_of
+from heddle.llm.common import few, passing, settle, table, text_of, unused
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR = 8
@@ -177,54 +178,59 @@ def _count_terms(most: int = 200_000):
 
 def find(docs: DataFrame, near: int = NEAR, disclose: float = DISCLOSE, text_col: str = "text") -> DataFrame:
     """``doc_id, digest, spans, terms`` per row: personal data by form, and the terms that reveal it, with their share of its information."""
-    named = _named(docs, text_col)
-    found = settle(named.mapInArrow(_find(near), FOUND))
-    total = found.agg(F.count("*").alias("n_all"))  # one row
-    pairs = found.select(F.explode(F.array_distinct(F.transform("terms", lambda x: F.struct(x["entity"], x["term"])))).alias("x"))
-    joint = settle(pairs.groupBy("x.entity", "x.term").agg(F.count("*").alias("n_both")))
-    entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = named.mapInArrow(_count_terms(), "term string, n long")
-    wanted = joint.select("term").distinct()
-    terms = terms.groupBy("term").agg(F.sum("n").alias("n_term")).join(wanted, "term")
-    known = joint.join(entities, "entity").join(terms, "term").join(F.broadcast(total)).filter("n_entity < n_all")
-    pmi = F.log2(F.col("n_all") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
-    share = pmi / F.log2(F.col("n_all") / F.col("n_entity"))
-    telling = settle(known.select("entity", "term", share.alias("share")).filter(F.col("share") >= disclose))
-    places = found.select("doc_id", "digest", F.explode("terms").alias("x")).select("doc_id", "digest", "x.*").join(telling, ["entity", "term"])
-    shown = (
-        places.groupBy("doc_id", "digest", "start", "end").agg(F.max("share").alias("share"))
-        .groupBy("doc_id", "digest").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("told"))
-        .select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "told")
-    )
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("digest") == F.col("_digest"))
+    with passing() as keep:
+        named = _named(docs, text_col)
+        found = keep(named.mapInArrow(_find(near), FOUND))
+        total = found.agg(F.count("*").alias("n_all"))  # one row
+        pairs = found.select(F.explode(F.array_distinct(F.transform("terms", lambda x: F.struct(x["entity"], x["term"])))).alias("x"))
+        joint = settle(pairs.groupBy("x.entity", "x.term").agg(F.count("*").alias("n_both")))
+        entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+        terms = named.mapInArrow(_count_terms(), "term string, n long")
+        wanted = settle(joint.select("term").distinct())
+        # Terms beside no entity go before they are shuffled, as long as the wanted ones are few.
+        terms = terms.join(few(wanted), "term").groupBy("term").agg(F.sum("n").alias("n_term"))
+        known = joint.join(entities, "entity").join(terms, "term").join(F.broadcast(total)).filter("n_entity < n_all")
+        pmi = F.log2(F.col("n_all") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+        share = pmi / F.log2(F.col("n_all") / F.col("n_entity"))
+        telling = settle(known.select("entity", "term", share.alias("share")).filter(F.col("share") >= disclose))
+        # A text's terms are the same in all its copies, so they go by its digest.
+        places = found.select("digest", F.explode("terms").alias("x")).select("digest", "x.*").join(telling, ["entity", "term"])
+        shown = keep(
+            places.groupBy("digest", "start", "end").agg(F.max("share").alias("share"))
+            .groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("told"))
+            .select(F.col("digest").alias("_digest"), "told")
+        )
     empty = F.array().cast("array<struct<start:bigint,end:bigint,share:double>>")
-    return found.join(shown, same, "left").select("doc_id", "digest", "spans", F.coalesce("told", empty).alias("terms"))
+    told = found.join(shown, F.col("digest") == F.col("_digest"), "left")
+    return told.select("doc_id", "digest", "spans", F.coalesce("told", empty).alias("terms"))
 
 
 def sanitise(docs: DataFrame, remove: float = REMOVE, text_col: str = "text", **options) -> DataFrame:
     """``docs`` with personal data replaced by placeholders such as ``[EMAIL]``, revealing terms by ``[TERM]`` or nothing."""
-    told = find(docs, text_col=text_col, **options).filter((F.size("spans") > 0) | (F.size("terms") > 0))
-    told = settle(told).dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "spans", "terms")
-    keyed = docs.withColumn("_md5", F.md5(text_of(docs, text_col).cast("binary")))
-    joined = keyed.join(told, keyed["doc_id"].cast("long").eqNullSafe(F.col("_doc")) & (F.col("_md5") == F.col("_digest")), "left")
+    marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     cut = F.concat(
-        F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), s["kind"] + 1).alias("mark"))),
+        F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(marks, s["kind"] + 1).alias("mark"))),
         F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["share"] >= remove, "").otherwise("[TERM]").alias("mark"))),
     )
-    text = F.col(text_col)
+    with passing() as keep:
+        told = find(docs, text_col=text_col, **options).filter((F.size("spans") > 0) | (F.size("terms") > 0))
+        told = keep(told.dropDuplicates(["digest"]).select("digest", F.sort_array(cut).alias("cut")))
+    digest, cuts = unused(docs, "digest", "cut")
+    keyed = docs.withColumn(digest, F.md5(text_of(docs, text_col).cast("binary")))
+    joined = keyed.join(few(told, F.size("cut")).select(F.col("digest").alias(f"{digest}_told"), F.col("cut").alias(cuts)), F.col(digest) == F.col(f"{digest}_told"), "left")
+    text = F.col(f"`{text_col}`")
     piece = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc, s):
         # Where spans overlap the later one only adds its mark.
         return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece(acc["at"], s["start"]), s["mark"]).alias("out")
+            F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], F.array(piece(acc["at"], s["start"]), s["mark"])).alias("out")
         )
 
-    clean = F.aggregate(F.sort_array(cut), start, step, lambda acc: F.concat(acc["out"], piece(acc["at"], F.length(text).cast("long"))))
-    new = F.when(F.col("spans").isNotNull(), clean).otherwise(text)
-    columns = [new.alias(c) if c == text_col else keyed[c] for c in docs.columns]
-    return joined.select(*columns)
+    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), piece(acc["at"], F.length(text).cast("long")))
+    clean = F.when(F.col(cuts).isNotNull(), F.aggregate(cuts, start, step, rest)).otherwise(text)
+    return joined.select(*[clean.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:

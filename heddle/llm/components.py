@@ -13,7 +13,8 @@ def components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
 
     Each half round sends every neighbour to the least one (first upwards, then downwards), which
     needs only the least neighbour per node: a hub meets as a minimum, never as a list. Each round
-    is written, so it can be read again after a loss. It ends when a round changes nothing.
+    is written, so it can be read again after a loss. It ends when a round changes nothing; ``most_rounds`` is
+    far above what graphs need (rounds grow with the logarithm of a component's size), and reaching it is an error, never a result.
     """
     now = settle(_turned(edges).distinct())
     sign = None

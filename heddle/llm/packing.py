@@ -10,7 +10,8 @@ outcome is what placing the pieces one by one gives. Spark then ranks the pieces
 piece finds its place by its length and rank.
 
 Defined results: a null text counts as empty; an empty text is its end token alone; rows with null
-or repeated ids are pieces of their own; an empty table gives no rows; other columns are dropped.
+or repeated ids are pieces of their own; a long text is cut into as many pieces as it needs; an empty table gives no rows; other
+columns, whatever their names, are dropped.
 """
 
 from __future__ import annotations
@@ -136,7 +137,7 @@ def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     lengths = {r["length"]: r["n"] for r in rows.groupBy("length").agg(F.count("*").alias("n")).collect()}
     steps = pd.DataFrame(plan(lengths, capacity), columns=["length", "rank", "n", "bin", "offset"])
     buckets = max(64, sum(lengths.values()) // 1_000_000)
-    spread = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+    spread = rows.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", *_rest(rows)), F.lit(buckets)))
     sizes = spread.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
     before = sizes.select(
         F.col("length").alias("_length"), F.col("_bucket").alias("_b"),

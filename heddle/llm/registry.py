@@ -21,4 +21,5 @@ ORACLES: dict[str, str] = {
     "op1_chat_formatting": chat.ORACLE_SQL,
     "op3_url_filters": urls.ORACLE_SQL,
     "op7_decontamination": decontaminate.ORACLE_SQL,
+    "op8_quality_rules": quality.ORACLE_SQL,
 }

@@ -24,8 +24,8 @@ a failed one at the edge of the group of either end: all groups with a failed li
 found so far and without the pairs that failed, until a walk finds nothing new.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; repeated rows, equal
-ids and null ids are documents of their own (a component without any id has a null one); an empty table
-gives no rows; other columns are dropped.
+ids and null ids are documents of their own (a component without any id has a null one); long texts are hashed whole; an empty table
+gives no rows; other columns are dropped, but for ``keep_one``, which keeps them whatever their names.
 """
 
 from __future__ import annotations

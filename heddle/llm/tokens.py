@@ -22,10 +22,12 @@ _PIECE = rf"(?:[{_LETTERS}]+{_NEXT}|[^\s{_LETTERS}]+[{_LETTERS}]+{_NEXT}|[^\s{_L
 _KEEPING = re.compile(rf"\n(?=\S)|\s*{_PIECE}|\s+")
 _DROPPING = re.compile(_PIECE)
 _UNSURE = re.compile("[\x1c-\x1f]")
+#: Longer cuttings are encoded each time, so what a worker remembers is bounded in bytes.
+LONGEST = 256
 
 
 class Encoder:
-    """Encodes batches of texts. A worker remembers up to ``limit`` cuttings, and as many that it met before those."""
+    """Encodes batches of texts. A worker remembers up to ``limit`` cuttings of up to ``LONGEST`` characters, and as many that it met before those."""
 
     def __init__(self, name: str, limit: int = 500_000):
         import public_tokenizers
@@ -59,10 +61,13 @@ class Encoder:
             known.update((w, self.before[w]) for w in missing if w in self.before)
             new = [w for w in missing if w not in known]
             known.update(zip(new, self._encode(new), strict=True))
+            long = [w for w in new if len(w) > LONGEST]
             out += [
                 self._encode([t])[0] if ws is None else b"".join(map(known.__getitem__, ws))
                 for t, ws in zip(part, cut, strict=True)
             ]
+            for w in long:
+                del known[w]
         return out
 
 

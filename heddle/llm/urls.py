@@ -7,19 +7,21 @@ whole host fits. A host is blocked where its distrust exceeds its trust by more
 
 Scores are whole numbers of parts (``UNIT`` in all), so sums do not depend on the order of their
 rows and every run gives the same verdicts. Links are summed per pair of hosts before they
-travel, a round moves one row per pair, and lineage is cut every few rounds by a written table.
+travel, a round moves one row per pair, and lineage is cut every few rounds by a written table. After ``ROUNDS`` rounds
+``DAMPING ** ROUNDS`` of the flow (4 %) is unsettled at most; hosts that many links from every seed have no score.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule, joins no graph
-and is allowed; a null page has no links; repeated rows are judged on their own (their links count
-again); an empty table gives no rows.
+and is allowed; a null page has no links; long pages are searched whole; repeated rows are judged on their own (their links count
+again); of two fitting rules of one length the one with the greater path, then host, then verdict wins; an empty table gives no rows; other
+columns pass through unless they have the name of an output column, which then wins.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import settle, table
+from heddle.llm.common import passing, settle, table, unused
 
 #: (verdict, host, path): the production rules.
 RULES = (
@@ -74,15 +76,18 @@ def links(pages: DataFrame) -> DataFrame:
 
 def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
     """``host, trust, distrust`` in parts of ``UNIT``; ``trusted`` and ``blocked`` hold distinct hosts."""
-    share = lambda a, b: F.col("n") / F.sum("n").over(Window.partitionBy(a))
-    flow = settle(
-        edges.select(F.lit("trust").alias("kind"), "src", "dst", share("src", "dst").alias("share")).union(
-            edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), share("dst", "src"))
-        )
-    )
+    edges = settle(edges)
+
+    def shares(kind: str, a: str, b: str) -> DataFrame:
+        whole = settle(edges.groupBy(F.col(a).alias("src")).agg(F.sum("n").alias("whole")))
+        turned = edges.select(F.lit(kind).alias("kind"), F.col(a).alias("src"), F.col(b).alias("dst"), "n")
+        return turned.join(whole, "src").select("kind", "src", "dst", (F.col("n") / F.col("whole")).alias("share"))
+
+    flow = settle(shares("trust", "src", "dst").union(shares("distrust", "dst", "src")))
     seeds = trusted.select(F.lit("trust").alias("kind"), "host").union(blocked.select(F.lit("distrust"), "host"))
-    each = F.floor(F.lit(UNIT) / F.count("*").over(Window.partitionBy("kind")))
-    start = settle(seeds.select("kind", "host", each.cast("long").alias("score")))
+    sizes = seeds.groupBy("kind").agg(F.count("*").alias("n"))  # two rows
+    each = F.floor(F.lit(UNIT) / F.col("n")).cast("long")
+    start = settle(seeds.join(F.broadcast(sizes), "kind").select("kind", "host", each.alias("score")))
     again = start.select("kind", "host", F.floor(F.col("score") * (1 - damping)).alias("score"))
     scores = start
     if not flow.isEmpty():
@@ -99,29 +104,33 @@ def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, rounds:
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
     """``pages`` with ``host, path, rule, verdict, trust, distrust``."""
-    named = pages.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    hosts = named.select("host").distinct()
-    ruled = settle(hosts.join(host_rules(hosts, rules), "host", "left"))
-    path = F.col("path")
-    fitting = lambda: F.filter("rules", lambda r: F.startswith(path, r["path"]))
-    # Seeds: hosts with pages that rules allow, and hosts that a whole-host rule blocks.
-    whole = F.exists("rules", lambda r: (r["path"] == "/") & (r["verdict"] == "block"))
-    allowed = named.select("host", "path").distinct().join(ruled, "host").filter(F.get(fitting(), F.lit(0))["verdict"] == "allow")
-    trusted = settle(allowed.select("host").distinct())
-    blocked = ruled.filter(whole).select("host").join(trusted, "host", "left_anti")
-    scores = propagate(links(pages), trusted, blocked)
-    known = hosts.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_hosts"))
-    info = ruled.join(scores, "host", "left").join(F.broadcast(known)).select(
-        F.col("host").alias("_host"), "rules",
-        F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust"),
-        F.floor(F.lit(UNIT) * threshold / F.col("n_hosts")).alias("_least"),
-    )
-    first = F.get(fitting(), F.lit(0))
-    by_graph = F.when(F.col("distrust") - F.col("trust") > F.col("_least"), "block").otherwise("allow")
-    return named.join(info, F.col("host") == F.col("_host")).select(
-        *[named[c] for c in named.columns], first["rule"].alias("rule"),
-        F.coalesce(first["verdict"], by_graph).alias("verdict"), "trust", "distrust",
-    )
+    with passing() as keep:
+        urls = pages.select("url", "html").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+        hosts = urls.select("host").distinct()
+        ruled = keep(hosts.join(host_rules(hosts, rules), "host", "left"))
+        # Seeds: hosts with pages that rules allow, and hosts that a whole-host rule blocks.
+        whole = F.exists("rules", lambda r: (r["path"] == "/") & (r["verdict"] == "block"))
+        fitting = F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"]))
+        allowed = urls.select("host", "path").distinct().join(ruled, "host").filter(F.get(fitting, F.lit(0))["verdict"] == "allow")
+        trusted = settle(allowed.select("host").distinct())
+        blocked = ruled.filter(whole).select("host").join(trusted, "host", "left_anti")
+        scores = settle(propagate(links(urls), trusted, blocked))
+        known = ruled.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_hosts"))  # one row
+        told = ("host", "path", "rule", "verdict", "trust", "distrust")
+        kept = [c for c in pages.columns if c.lower() not in told]
+        host, path, its, rules_, trust, distrust, least = unused(pages, "host", "path", "its", "rules", "trust", "distrust", "least")
+        info = keep(ruled.join(scores, "host", "left").join(F.broadcast(known)).select(
+            F.col("host").alias(its), F.col("rules").alias(rules_),
+            F.coalesce("trust", F.lit(0)).alias(trust), F.coalesce("distrust", F.lit(0)).alias(distrust),
+            F.floor(F.lit(UNIT) * threshold / F.col("n_hosts")).alias(least),
+        ))
+    named = pages.withColumns({host: host_of(F.col("url")), path: path_of(F.col("url"))})
+    first = F.get(F.filter(rules_, lambda r: F.startswith(F.col(path), r["path"])), F.lit(0))
+    by_graph = F.when(F.col(distrust) - F.col(trust) > F.col(least), "block").otherwise("allow")
+    values = (F.col(host), F.col(path), first["rule"], F.coalesce(first["verdict"], by_graph), F.col(trust), F.col(distrust))
+    return named.join(info, F.col(host) == F.col(its)).select(
+        *[F.col(f"`{c}`") for c in kept], *[v.alias(n) for v, n in zip(values, told, strict=True)]
+    )
 
 
 def op3_url_filters(spark, sf_dir: str) -> DataFrame:

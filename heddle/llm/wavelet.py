@@ -13,7 +13,8 @@ The corpus is range-partitioned by document id and every partition writes its sh
 row per image, so a lost executor costs its own shards. Shards of one partition follow in ``seq``.
 
 Defined results: null texts are empty; an empty text is the end id alone; documents with null ids come
-first; repeated ids stay, ordered by text; other columns are not written; an empty table has no shards.
+first; repeated ids stay, ordered by the texts' digests; a long text makes a long shard of its own; other columns, whatever their
+names, are not written; an empty table has no shards.
 """
 
 from __future__ import annotations
@@ -205,8 +206,9 @@ def write_shards(
             yield image()
 
     named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    ranged = named.repartitionByRange(F.col("doc_id").asc_nulls_first())
-    ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Equal ids are parted by their texts' digests, in which order they stay.
+    ranged = named.withColumn("digest", F.md5(F.col("text").cast("binary"))).repartitionByRange(F.col("doc_id").asc_nulls_first(), "digest")
+    ordered = ranged.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "digest").drop("digest")
     return settle(ordered.mapInArrow(shards, SHARDS))
 
 

@@ -549,3 +549,67 @@ def test_chunks_find_short_passages(spark):
     caught = [found[2 * k].n_repeated > 0 and found[2 * k + 1].n_removed > 0 for k in range(300)]
     assert sum(caught) >= 0.97 * 300
     assert sum(found[2 * k + 1].n_removed for k in range(300)) >= 0.8 * sum(sizes)
+
+
+#: Names that operators use inside or give to what they return.
+INNER = (
+    "digest digest_told row id one wide root least component_id fp u v ok trie key top node a b spans terms told cut share entity term "
+    "n_both n_term chunk start size part parts _doc _digest _doc_ _text _words words windows lines places text_ w window item_id items at n_hit "
+    "shingle hits copies runs bytes step content head body tok pos c0 c1 span conv none piece length offset sequence_id ids image rank "
+    "n_words n_symbols kept passed failed_rules _bucket _rank host path rule its rules verdict trust distrust n_chars lang source"
+).split()
+
+
+@pytest.fixture(scope="module")
+def crowded(spark):
+    """A column of every inner name, and nulls, empties, ties, repeated rows and a text of 5 MB."""
+    rnd = random.Random(18)
+    texts = [None, "", "same words " * 60, "same words " * 60, "write to ann@x.org or 1.2.3.4 now " + " ".join(_prose(rnd, 60))]
+    texts += [" ".join(_prose(rnd, 700_000)), "a b c d e f " + " ".join(_prose(rnd, 80))]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(4, texts[4]), (None, texts[2]), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    from pyspark.sql import functions as F
+
+    return df.withColumns({c: F.lit(f"own {c}") for c in INNER}).repartition(2).cache()
+
+
+def test_inner_names_and_long_texts(spark, crowded):
+    from pyspark.sql import functions as F
+
+    items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string").withColumns({c: F.lit(1) for c in INNER if c != "item_id"})
+    own = lambda df: df.select(*INNER).distinct().collect() == [tuple(f"own {c}" for c in INNER)]
+    n = crowded.count()
+    judged = quality.judge(crowded)
+    assert judged.count() == n and judged.select("_text", "words").distinct().collect() == [("own _text", "own words")]
+    kept = simhash.keep_one(crowded, 5)
+    assert kept.columns == crowded.columns and own(kept) and sorted((r.doc_id for r in kept.select("doc_id").collect()), key=str) == [0, 2, 4, 5, 6]
+    clean = decontaminate.clean(crowded, items)
+    assert clean.columns == crowded.columns and own(clean) and clean.count() == n - 1
+    safe = pii.sanitise(crowded)
+    assert safe.columns == crowded.columns and own(safe) and safe.count() == n
+    assert safe.filter("text like '%[EMAIL]%[IP]%'").count() == 2 and safe.filter("text like '%ann@x.org%'").count() == 0
+    assert suffixes.dedup(crowded, keep_text=False).count() == chunks.dedup(crowded, keep_text=False).count() == n
+    assert decontaminate.contamination(crowded, items).agg(F.sum("copies")).first()[0] == n
+    assert simhash.near_duplicates(crowded).count() == n and packing.pack(crowded).select("doc_id").distinct().count() == 8
+    assert wavelet.read_shards(wavelet.write_shards(crowded)).count() == n
+    pages = crowded.select(F.col("doc_id").alias("page_id"), F.lit("http://a.org/fr/x").alias("url"), F.col("text").alias("html"), *INNER)
+    sites = urls.judge(pages.union(pages))
+    assert sites.count() == 2 * n and sites.select("host", "path", "rule", "verdict", "rules").distinct().collect() == [("a.org", "/fr/x", "org/fr/", "allow", "own rules")]
+    turns = crowded.select(F.col("doc_id").alias("conv_id"), F.lit(1).alias("turn"), F.lit("user").alias("role"), "text", *INNER)
+    assert chat.windows(turns).agg(F.sum("n_new")).first()[0] == n
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, crowded, tmp_path):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "a the b the c the d the e the f")], "item_id long, text string").toPandas().to_parquet(tmp_path / "benchmark.parquet")
+    # Words of letters with stop words between them, so that the rules leave the shorter texts.
+    plain = crowded.withColumn("text", F.replace(F.translate("text", "0123456789", "abcdefghij"), F.lit(" "), F.lit(" the ")))
+    for docs, sizes in ((plain, (3, 2, 1, 1)), (plain.limit(0), (0, 0, 0, 0))):
+        columns = docs.columns
+        for (name, stage), size in zip(corpus_pipeline.STAGES, sizes, strict=False):
+            docs = stage(spark, docs, str(tmp_path)).cache()
+            assert docs.columns == columns and docs.count() == size, name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).select("doc_id").distinct().count() == sizes[-1]

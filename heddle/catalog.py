@@ -17,6 +17,8 @@ FLAGSHIP = "p2_error_list"
 #: Fixed values.
 HEALTHY = "heddle is running"
 ROLES = ("user", "assistant")
+SIZES = {"A": "sm", "N": "default", "R": "lg"}
+NOTHING_FOUND = "No items found."
 VARIANTS = {"view": "outline", "click": "ghost", "purchase": "default", "error": "destructive"}
 
 
@@ -38,7 +40,11 @@ def p2_error_list(spark, sf_dir):
 
 
 def p3_option_search(spark, sf_dir):
-    return options.search(sources.table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "PART1")
+    return options.search(sources.table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "RING")
+
+
+def p3_empty_result(spark, sf_dir):
+    return options.search_or_message(sources.table(spark, sf_dir, "part"), "p_name", "no such part", NOTHING_FOUND)
 
 
 def p4_constraints(spark, sf_dir):
@@ -59,6 +65,22 @@ def p6_item_projection(spark, sf_dir):
     return options.items(nations, key=F.col("n_nationkey"), value=F.col("n_name"))
 
 
+def p6_array_projection(spark, sf_dir):
+    """Nations of a region as an array, latest key first; the text shows that the order is kept."""
+    lists = sources.table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(
+        F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name")), asc=False).alias("options")
+    )
+    shown = options.items_of(F.col("options"), place=lambda x, i: i, value=lambda x, i: x["n_name"])
+    return lists.select("n_regionkey", F.array_join(F.transform(shown, lambda x: F.concat_ws(":", x["place"], x["value"])), "|").alias("items"))
+
+
+def p7_variant_axes(spark, sf_dir):
+    rows = sources.table(spark, sf_dir, "lineitem")
+    status = {"F": "outline", "X": "ghost"}
+    found = lookup.variants_of((F.nullif("l_returnflag", F.lit("N")), SIZES, "N"), (F.col("l_linestatus"), status, "X"))
+    return rows.select("l_orderkey", "l_linenumber", F.array_join(found, " ").alias("variants"))
+
+
 def p7_variant_lookup(spark, sf_dir):
     rows = sources.table(spark, sf_dir, "events")
     marks = functions.include((F.col("value") > 50, F.lit("large")), (F.col("event_type") == "error", F.lit("alert")))
@@ -86,8 +108,8 @@ def i13_sessions(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_healthcheck, p2_error_list, p3_option_search, p4_constraints, p5_record_update, p6_item_projection,
-        p7_variant_lookup, i8_label_rollup, i10_turn_checks, i13_hourly_events, i13_sessions,
+        p1_healthcheck, p2_error_list, p3_option_search, p3_empty_result, p4_constraints, p5_record_update, p6_item_projection,
+        p6_array_projection, p7_variant_lookup, p7_variant_axes, i8_label_rollup, i10_turn_checks, i13_hourly_events, i13_sessions,
     )
 }
 
@@ -98,12 +120,21 @@ WITH d AS (SELECT conv_id, CASE WHEN role = 'system' THEN '' ELSE role END AS m,
 k AS (SELECT conv_id, count(*) AS keys, coalesce(string_agg(m, '|' ORDER BY f) FILTER (m <> ''), '') AS items,
   count(*) FILTER (m <> '') AS shown FROM d GROUP BY conv_id)
 SELECT conv_id, CASE WHEN keys = 1 THEN 'scalar' ELSE 'list' END AS kind, items FROM k WHERE keys > 1 OR shown > 0""",
-    "p3_option_search": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'part1')",
+    "p3_option_search": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring')",
+    "p3_empty_result": f"""
+WITH f AS (SELECT p_name AS item FROM part WHERE contains(lower(p_name), 'no such part'))
+SELECT item, NULL::VARCHAR AS message FROM f UNION ALL SELECT NULL, '{NOTHING_FOUND}' WHERE NOT EXISTS (SELECT 1 FROM f)""",
     "p4_constraints": """
 SELECT conv_id, turn, concat_ws('; ', CASE WHEN coalesce(text, '') = '' THEN 'text is required' END,
   CASE WHEN role NOT IN ('user', 'assistant') THEN 'role is not an option' END) AS violations FROM conversations""",
     "p5_record_update": "SELECT doc_id, true AS email, quality = 1 AND toxic = 1 AS sms, true AS push FROM labels",
     "p6_item_projection": "SELECT n_nationkey AS key, n_name AS value FROM nation",
+    "p6_array_projection": """
+SELECT n_regionkey, string_agg(place || ':' || n_name, '|' ORDER BY place) AS items
+FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) - 1 AS place FROM nation) GROUP BY n_regionkey""",
+    "p7_variant_axes": """
+SELECT l_orderkey, l_linenumber, concat_ws(' ', CASE l_returnflag WHEN 'A' THEN 'sm' WHEN 'R' THEN 'lg' ELSE 'default' END,
+  CASE l_linestatus WHEN 'F' THEN 'outline' END) AS variants FROM lineitem""",
     "p7_variant_lookup": """
 SELECT event_id, CASE event_type WHEN 'view' THEN 'outline' WHEN 'click' THEN 'ghost' WHEN 'error' THEN 'destructive' ELSE 'default' END AS variant,
   concat_ws(' ', CASE WHEN value > 50 THEN 'large' END, CASE WHEN event_type = 'error' THEN 'alert' END) AS marks FROM events""",

@@ -49,3 +49,18 @@ def test_stream_gives_the_batch_rows(spark, tmp_path):
     query = stream.writeStream.outputMode("complete").format("memory").queryName("hours").trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert sorted(map(tuple, spark.table("hours").collect())) == sorted(map(tuple, events.hourly(table).collect()))
+
+
+def test_empty_result_order_and_unknown_keys(spark):
+    rows = spark.createDataFrame([("Next.js",), ("next",), (None,)], "item string")
+    found = lambda q: sorted(map(tuple, options.search_or_message(rows, "item", q, "none").collect()), key=repr)
+    assert found("NEXT") == [("Next.js", None), ("next", None)]
+    assert found("x!") == [(None, "none")] == sorted(map(tuple, options.search_or_message(rows.limit(0), "item", "", "none").collect()))
+    lists = spark.createDataFrame([(["b", "a", None],), ([],), (None,)], "a array<string>")
+    shown = lists.select(options.items_of(F.col("a"), key=lambda x, i: i, value=lambda x, i: x).alias("v")).collect()
+    assert [None if r.v is None else [tuple(x) for x in r.v] for r in shown] == [[(0, "b"), (1, "a"), (2, None)], [], None]
+    look = {"next": "n", "d": "x"}
+    one = lambda **o: [r[0] for r in rows.select(lookup.variant(F.col("item"), look, "d", **o)).collect()]
+    assert one() == ["x", "n", "x"] and one(on_unknown="nothing") == [None, "n", "x"]
+    axes = rows.select(lookup.variants_of((F.col("item"), look, "d"), (F.lit(None), {"e": "z"}, "e")).alias("v")).collect()
+    assert [r.v for r in axes] == [["z"], ["n", "z"], ["x", "z"]]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from heddle.llm import chat, chunks, decontaminate, packing, pii, quality, simhash, suffixes, urls, wavelet
+from heddle.llm import (
+    chat, chunks, collocations, decompose, decontaminate, packing, periodic, pii, quality, simhash, suffixes, urls, wavelet,
+)
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
@@ -15,6 +17,9 @@ QUERIES = {
     "op8_quality_rules": quality.op8_quality_rules,
     "op9_token_binary": wavelet.op9_token_binary,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_phrase_collocations": collocations.op11_phrase_collocations,
+    "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_power_packing": decompose.op13_power_packing,
 }
 
 ORACLES: dict[str, str] = {
@@ -22,4 +27,5 @@ ORACLES: dict[str, str] = {
     "op3_url_filters": urls.ORACLE_SQL,
     "op7_decontamination": decontaminate.ORACLE_SQL,
     "op8_quality_rules": quality.ORACLE_SQL,
+    "op11_phrase_collocations": collocations.ORACLE_SQL,
 }

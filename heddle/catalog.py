@@ -1,6 +1,6 @@
 """Queries outside the llm subpackage and the SQL that gives the same rows, by name.
 
-Names that start with p are the parity set; those that start with i are reports beyond it.
+Names that start with p are the parity set; those that start with i are reports beyond it, those with j joins.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heddle import functions, sources
 from heddle.operators import constraints, errors, lookup, options, records
-from heddle.plans import reports
+from heddle.plans import joins, reports
 from heddle.streaming import events
 
 FLAGSHIP = "p2_error_list"
@@ -112,8 +112,9 @@ QUERIES = {
         p6_array_projection, p7_variant_lookup, p7_variant_axes, i8_label_rollup, i10_turn_checks, i13_hourly_events, i13_sessions,
     )
 }
+QUERIES |= joins.QUERIES
 
-ORACLES: dict[str, str] = {
+ORACLES: dict[str, str] = joins.ORACLES | {
     "p1_healthcheck": f"SELECT '{HEALTHY}' AS status",
     "p2_error_list": """
 WITH d AS (SELECT conv_id, CASE WHEN role = 'system' THEN '' ELSE role END AS m, min(turn) AS f FROM conversations GROUP BY ALL),

@@ -53,10 +53,11 @@ class Encoder:
         for at in range(0, len(texts), 64):
             part = texts[at : at + 64]
             cut = [self.cut(t) if self._sure(t) else None for t in part]
-            missing = {w for ws in cut if ws for w in ws if w not in self.known}
+            words = set().union(*filter(None, cut))
+            missing = words.difference(self.known)
             if len(self.known) + len(missing) > self.limit:
                 self.before, self.known = self.known, {}
-                missing = {w for ws in cut if ws for w in ws}
+                missing = words
             known = self.known
             known.update((w, self.before[w]) for w in missing if w in self.before)
             new = [w for w in missing if w not in known]

@@ -1,21 +1,22 @@
 """Phrase collocation mining by hierarchical pair naming.
 
 Texts become blocks of some ``BLOCK`` bytes: the block's different words and, position by position, their numbers
-in that list. Then for k = 2 up to ``longest``:
+in that list. Words are counted by block and added up in Spark; those found ``LEAST`` times or more get an id, which is
+joined back to the blocks' lists. A block then keeps the numbers of its frequent words alone. For k = 2 up to ``longest``:
 
-1. Words (or pairs) are counted by block and added up in Spark; those found ``LEAST`` times or more get an id of their own.
-2. The ids are joined back to the blocks' lists, and each block replaces every position by the id of the frequent (k-1)-gram that
-   starts there, or by nothing. Two neighbouring ids are a pair, the k-gram that starts there; the block lists its different
-   pairs with their counts, and these are what step 1 counts next.
+1. Two neighbouring numbers are a pair, the k-gram that starts there. Each block lists its different pairs with their counts
+   and deals them, by a hash of both ids, to parts: one row for each block and part. A part adds up the counts of
+   all blocks and names the pairs that are frequent; it puts out their names and, for each block, which of its pairs they are.
+2. Each block replaces every position by the number of the frequent pair that starts there, or by nothing.
 
 A named pair holds the ids of its two parents, the k-gram without its last word and the one without its first, so the
 counts of all parts into which a candidate can be cut, and of all candidates within a longer one, are found by following ids. A
 longer candidate is never more frequent than what it holds, so if any longer one makes a phrase redundant, one that is longer by one
 word does: the phrase is one of its two parents.
 
-A word or pair of a third of all positions is one row for each block before anything is shuffled. No table of
-names is broadcast unless Spark finds it small. Long texts are cut into several blocks, which repeat the words after
-the cut as far as a phrase reaches (they start no phrase there).
+A word or pair of a third of all positions is one entry of each block before anything is shuffled; the number of parts grows
+with the positions, so a part holds some ``PART`` pairs. No table of names is broadcast unless Spark finds it small. Long texts are cut
+into several blocks, which repeat the words after the cut as far as a phrase reaches (they start no phrase there).
 
 Defined results: null and empty texts have no words; a null language is ``und``; repeated rows, null and equal ids count each on
 their own; ties are ordered by phrase, so the result is one; an empty table gives no rows; other columns, whatever their names, are dropped.
@@ -25,10 +26,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.common import passing, settle, table, text_of
+from heddle.llm.common import drop, passing, settle, table, text_of
 
 LEAST = 30
 LONGEST = 4
@@ -37,6 +39,8 @@ TOP = 2000
 SHARE = 80
 SCALE = 2_000_000
 BLOCK = 12 << 20
+#: Pairs that a part is meant to hold.
+PART = 1 << 21
 
 #: What ends a piece, what separates words.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -50,6 +54,18 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 NONE = -1
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers, compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(values.view("u1").reshape(len(values), values.itemsize).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def _unpack(raw: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "u1").reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _parts(text: bytes, size: int, reach: int):
     """``text`` in parts of some ``size`` bytes: (bytes, end of the part's own bytes); the rest repeats what ``reach`` words after it may need."""
     at = 0
@@ -102,7 +118,7 @@ def _words(data: bytes, own: list[tuple[int, int]]):
 def blocks(docs: DataFrame, size: int = BLOCK, longest: int = LONGEST) -> DataFrame:
     """``words, seq, own``: a block's different (lang, word) with their counts, and the place of each position's word in that list.
 
-    ``seq`` (i4, little-endian) has NONE where a piece ends; ``own`` (bits) tells at which positions phrases start.
+    ``seq`` (packed i4) has NONE where a piece ends; ``own`` (packed bits) tells at which positions phrases start.
     """
     word = pa.struct([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
@@ -140,8 +156,8 @@ def blocks(docs: DataFrame, size: int = BLOCK, longest: int = LONGEST) -> DataFr
         return pa.RecordBatch.from_arrays(
             [
                 pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), held),
-                pa.array([np.concatenate(seqs).tobytes()], pa.binary()),
-                pa.array([np.packbits(np.concatenate(owns)).tobytes()], pa.binary()),
+                pa.array([_pack(np.concatenate(seqs))], pa.binary()),
+                pa.array([_pack(np.packbits(np.concatenate(owns)))], pa.binary()),
             ],
             names=["words", "seq", "own"],
         )
@@ -167,74 +183,160 @@ def blocks(docs: DataFrame, size: int = BLOCK, longest: int = LONGEST) -> DataFr
     return cut.withColumn("block", F.monotonically_increasing_id())
 
 
-def _named(counted: DataFrame, key: list[str], least: int) -> DataFrame:
-    """``id``, the key and ``f`` of what is frequent. An id holds the key's place in the written table."""
-    frequent = counted.groupBy(*key).agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
-    return settle(frequent.withColumn("id", F.monotonically_increasing_id()))
+class State:
+    """A block's positions at one level: ``seq`` has numbers in ``ids`` or NONE, ``own`` tells at which positions phrases start."""
 
+    def __init__(self, seq: np.ndarray, own: np.ndarray, ids: np.ndarray):
+        self.seq, self.own, self.ids = seq, own, ids
 
-def _pairs(state: DataFrame, ids: DataFrame) -> DataFrame:
-    """The next state: blocks whose positions are replaced by the places of the pairs that start there.
+    def pairs(self):
+        """Where pairs start, each one's number in the list of the block's different pairs, and that list: left, right, count."""
+        m = max(1, len(self.ids))
+        valid = np.flatnonzero((self.seq[:-1] >= 0) & (self.seq[1:] >= 0))
+        both, place = np.unique(self.seq[valid].astype("i8") * m + self.seq[valid + 1], return_inverse=True)
+        count = np.bincount(place[self.own[valid]], minlength=len(both))
+        return valid, place, self.ids[both // m] if len(both) else self.ids[:0], self.ids[both % m] if len(both) else self.ids[:0], count
 
-    ``state``: ``block, seq, own``; ``ids``: ``of`` (a block), ``code, id`` of what is frequent in the block's list.
-    """
-    pair = pa.struct([("l", pa.int64()), ("r", pa.int64()), ("n", pa.int64())])
-    schema = pa.schema([("pairs", pa.list_(pair)), ("seq", pa.binary()), ("own", pa.binary()), ("block", pa.int64())])
+    @classmethod
+    def read(cls, row: dict) -> State:
+        seq = _unpack(row["seq"], "<i4")
+        own = np.unpackbits(_unpack(row["own"], "u1"), count=len(seq)).view(bool)
+        return cls(seq, own, _unpack(row["ids"], "<i8") if "ids" in row else np.zeros(0, "<i8"))
+
+    def replaced(self, at: np.ndarray, entry: np.ndarray, entries: int, code: np.ndarray, ids: np.ndarray) -> State:
+        """The next level: position ``at[i]`` has entry ``entry[i]`` of a list; entries ``code`` of it are frequent and have ``ids``."""
+        number = np.full(entries + 1, NONE, "<i4")
+        number[code] = np.arange(len(code))
+        seq = np.full(len(self.seq), NONE, "<i4")
+        seq[at] = number[entry]
+        return State(seq, self.own, ids)
+
+    def table(self, block: int) -> pa.Table:
+        n = int((self.seq >= 0).sum())
+        row = [_pack(self.seq), _pack(np.packbits(self.own)), _pack(self.ids.astype("<i8")), n, block]
+        return pa.Table.from_arrays([pa.array([x], f.type) for x, f in zip(row, STATE, strict=True)], schema=STATE)
+
+
+STATE = pa.schema([("seq", pa.binary()), ("own", pa.binary()), ("ids", pa.binary()), ("n", pa.int64()), ("block", pa.int64())])
+STATE_SQL = "seq binary, own binary, ids binary, n long, block long"
+
+
+def _word_state(cut: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The first level; ``frequent``: ``of`` (a block), ``code`` (place in its list of words), ``id``."""
 
     def step(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return schema.empty_table()
-        number = left["block"][0].as_py()
-        seq = np.frombuffer(left["seq"][0].as_py(), "<i4")
-        own = np.unpackbits(np.frombuffer(left["own"][0].as_py(), "u1"), count=len(seq)).view(bool)
-        code, ids = right["code"].to_numpy(), right["id"].to_numpy()
-        # Places in the sorted ids are shorter to sort than ids.
-        short = np.full(int(seq.max(initial=0)) + 2, NONE, "i8")
-        short[code] = np.arange(len(code))
-        short[-1] = NONE  # of NONE itself
-        at = short[seq]
-        valid = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
-        both, place = np.unique(at[valid] * len(code) + at[valid + 1], return_inverse=True)
-        after = np.full(len(seq), NONE, "<i4")
-        after[valid] = place
-        n = np.bincount(place[own[valid]], minlength=len(both))
-        found = pa.StructArray.from_arrays(
-            [pa.array(ids[both // max(1, len(code))]), pa.array(ids[both % max(1, len(code))]), pa.array(n, pa.int64())], fields=list(pair)
-        )
-        lists = pa.ListArray.from_arrays(pa.array([0, len(found)], pa.int32()), found)
-        return pa.Table.from_arrays(
-            [lists, pa.array([after.tobytes()], pa.binary()), pa.array([left["own"][0].as_py()], pa.binary()), pa.array([number])], schema=schema
-        )
+            return STATE.empty_table()
+        row = left.to_pylist()[0]
+        state = State.read(row)
+        at = np.flatnonzero(state.seq >= 0)
+        entries = int(state.seq.max(initial=-1)) + 1
+        return state.replaced(at, state.seq[at], entries, right["code"].to_numpy(), right["id"].to_numpy()).table(row["block"])
+
+    sides = cut.select("block", "seq", "own").groupBy("block").cogroup(frequent.groupBy("of"))
+    return sides.applyInArrow(step, STATE_SQL)
 
-    sides = state.select("block", "seq", "own").groupBy("block").cogroup(ids.groupBy("of"))
-    return sides.applyInArrow(step, "pairs array<struct<l:long,r:long,n:long>>, seq binary, own binary, block long")
 
+def _part(left: np.ndarray, right: np.ndarray, parts: int) -> np.ndarray:
+    x = left.astype("u8") * np.uint64(0x9E3779B97F4A7C15) ^ right.astype("u8") * np.uint64(0xC2B2AE3D27D4EB4F)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return ((x ^ (x >> np.uint64(31))) % np.uint64(parts)).astype("i8")
 
-def _codes(state: DataFrame, lists: str, names: DataFrame, key: list[str]) -> DataFrame:
-    """``of`` (a block), ``code, id`` of the frequent entries of each block's list."""
-    rows = state.select("block", F.posexplode(lists).alias("code", "x")).select("block", "code", *[F.col(f"x.{k}") for k in key])
-    return rows.join(names.select(*key, "id"), key).select(F.col("block").alias("of"), "code", "id")
 
+def _pair_names(state: DataFrame, parts: int, least: int) -> DataFrame:
+    """``names`` (array of id, l, r, f) of a part's frequent pairs, or ``of`` (a block) with packed ``code, id`` of those it has."""
 
-def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, size: int = BLOCK) -> DataFrame:
+    def deal(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, _, left, right, n = State.read(row).pairs()
+                part = _part(left, right, parts)
+                order = np.argsort(part, kind="stable")
+                edges = np.searchsorted(part[order], np.arange(parts + 1))
+                for p in np.flatnonzero(np.diff(edges)).tolist():
+                    some = order[edges[p] : edges[p + 1]]
+                    packed = [_pack(x[some].astype("<i8")) for x in (left, right, n)] + [_pack(some.astype("<i4"))]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([x]) for x in (p, row["block"], *packed)], names=["part", "block", "l", "r", "n", "code"]
+                    )
+
+    dealt = state.select("seq", "own", "ids", "block").mapInArrow(deal, "part long, block long, l binary, r binary, n binary, code binary")
+    name = pa.struct([("id", pa.int64()), ("l", pa.int64()), ("r", pa.int64()), ("f", pa.int64())])
+    schema = pa.schema([("names", pa.list_(name)), ("of", pa.int64()), ("code", pa.binary()), ("id", pa.binary())])
+
+    def count(rows: pa.Table) -> pa.Table:
+        rows = rows.to_pylist()
+        part = rows[0]["part"]
+        left, right, n = (np.concatenate([_unpack(x[c], "<i8") for x in rows]) for c in ("l", "r", "n"))
+        order = np.lexsort((right, left))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1])
+        first = np.flatnonzero(fresh)
+        total = np.add.reduceat(n[order], first)
+        keep = total >= least
+        ids = np.where(keep, (part << 36) + np.cumsum(keep) - 1, NONE)
+        own = np.empty(len(order), "i8")
+        own[order] = ids[np.cumsum(fresh) - 1]
+        one = order[first[keep]]
+        names = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (ids[keep], left[one], right[one], total[keep])], fields=list(name))
+        out = [([x.as_py() for x in names], None, None, None)] if len(names) else []
+        at = 0
+        for row in rows:
+            code = _unpack(row["code"], "<i4")
+            mine = own[at : at + len(code)]
+            at += len(code)
+            if (mine >= 0).any():
+                out.append((None, row["block"], _pack(code[mine >= 0]), _pack(mine[mine >= 0].astype("<i8"))))
+        columns = zip(*out, strict=True) if out else [()] * 4
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return dealt.groupBy("part").applyInArrow(count, "names array<struct<id:long,l:long,r:long,f:long>>, of long, code binary, id binary")
+
+
+def _pair_state(state: DataFrame, frequent: DataFrame) -> DataFrame:
+    """The next level; ``frequent``: ``of`` (a block), packed ``code`` (places in its list of pairs) and ``id``."""
+
+    def step(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return STATE.empty_table()
+        row, found = left.to_pylist()[0], right.to_pylist()
+        state = State.read(row)
+        at, entry, pairs, _, _ = state.pairs()
+        code = np.concatenate([_unpack(x["code"], "<i4") for x in found] or [np.zeros(0, "<i4")])
+        ids = np.concatenate([_unpack(x["id"], "<i8") for x in found] or [np.zeros(0, "<i8")])
+        return state.replaced(at, entry, len(pairs), code, ids).table(row["block"])
+
+    sides = state.select("seq", "own", "ids", "block").groupBy("block").cogroup(frequent.groupBy("of"))
+    return sides.applyInArrow(step, STATE_SQL)
+
+
+def phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, size: int = BLOCK, pairs: int = PART) -> DataFrame:
     """``lang, words, a, firsts, lasts, inside, n``: each phrase of 2 to ``longest`` words found ``least`` times or more.
 
     ``firsts`` and ``lasts`` have the counts of its first and last 1, 2, ... words (the last is its own), ``inside`` the greatest
     count of a candidate longer by one word that holds it (null: none), ``n`` the words of its language.
     """
     with passing() as keep:
-        state = settle(blocks(docs, size, longest))
-        single = state.select(F.inline("words"))
-        names = _named(single, ["lang", "word"], least)
+        cut = settle(blocks(docs, size, longest))
+        single = cut.select(F.inline("words"))
+        counted = single.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        words = settle(counted.withColumn("id", F.monotonically_increasing_id()))  # read from the written table only
         total = settle(single.groupBy("lang").agg(F.sum("n").alias("n")))
-        grams = names.select(
-            "id", "lang", F.array("word").alias("words"), F.array("f").alias("firsts"), F.array("f").alias("lasts")
-        )
-        lists, key, levels = "words", ["lang", "word"], []
+        listed = cut.select(F.col("block").alias("of"), F.posexplode("words").alias("code", "x"))
+        listed = listed.select("of", "code", F.col("x.lang").alias("lang"), F.col("x.word").alias("word"))
+        state = settle(_word_state(cut, listed.join(words.select("lang", "word", "id"), ["lang", "word"]).select("of", "code", "id")))
+        drop(cut)
+        grams = words.select("id", "lang", F.array("word").alias("words"), F.array("f").alias("firsts"), F.array("f").alias("lasts"))
+        levels = []
         for k in range(2, longest + 1):
-            state = settle(_pairs(state, _codes(state, lists, names, key)))
-            lists, key = "pairs", ["l", "r"]
-            names = _named(state.select(F.inline("pairs")), key, least)
+            held = state.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+            named = settle(_pair_names(state, max(8, -(-held // pairs)), least))
+            if k < longest:
+                before, state = state, settle(_pair_state(state, named.filter("of IS NOT NULL").select("of", "code", "id")))
+                drop(before)
+            names = settle(named.filter("of IS NULL").select(F.inline("names")))
+            drop(named)
             # A pair's parents give the counts of its parts.
             left = grams.select(F.col("id").alias("l"), "lang", "words", "firsts")
             right = grams.select(F.col("id").alias("r"), F.element_at("words", -1).alias("last"), "lasts")

@@ -94,6 +94,13 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def drop(df: DataFrame) -> None:
+    """Remove a settled table before the end of its block, when nothing reads it any more."""
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if folder.rsplit("/", 1)[1].startswith("heddle-"):
+            _remove(df.sparkSession, folder)
+
+
 def few(keys: DataFrame, weight: Column | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
     """``keys`` (a settled table of narrow rows), marked for broadcasting if there are ``most`` or fewer of them.
 

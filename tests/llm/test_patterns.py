@@ -72,7 +72,7 @@ def test_phrases_match_plain_counting(spark, size, top):
         text = "".join(rnd.choice(words) + rnd.choice([" ", " ", "  ", "\t", " ", ", ", "\n"]) for _ in range(rnd.randint(0, 60)))
         docs.append((i % 7, rnd.choice(["en", "de", None]), text + " new york city hall" * rnd.randint(0, 2)))
     df = spark.createDataFrame(docs, "doc_id long, lang string, text string").repartition(5)
-    found = collocations.rank(collocations.phrases(df, least=4, size=size), top=top)
+    found = collocations.rank(collocations.phrases(df, least=4, size=size, pairs=50), top=top)
     assert sorted(map(tuple, found.collect())) == _phrases([x[1:] for x in docs], 4, top)
 
 

@@ -10,10 +10,9 @@ tokens written out, separators that regex dialects treat differently) are encode
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: Letters after which a cut is certain if an ASCII character that is no letter follows.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _NEXT = r"(?=[\x00-\x40\x5b-\x60\x7b-\x7f]|\Z)"
@@ -29,7 +28,7 @@ LONGEST = 256
 class Encoder:
     """Encodes batches of texts. A worker remembers up to ``limit`` cuttings of up to ``LONGEST`` characters, and as many that it met before those."""
 
-    def __init__(self, name: str, limit: int = 500_000):
+    def __init__(self, name: str, limit: int = 300_000):
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -42,13 +41,17 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.whole.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def _sure(self, text: str) -> bool:
         return not (_UNSURE.search(text) or ("<" in text and any(s in text for s in self.special)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned 32-bit integers. Equal texts are encoded once."""
+        different = list(dict.fromkeys(texts))
+        if len(different) < len(texts):
+            known = dict(zip(different, self.encode(different), strict=True))
+            return [known[t] for t in texts]
         out: list[bytes] = []
         for at in range(0, len(texts), 64):
             part = texts[at : at + 64]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from heddle import functions, sources
 from heddle.operators import constraints, errors, lookup, options, records
-from heddle.plans import joins, reports
+from heddle.plans import joins, more, reports
 from heddle.streaming import events
 
 FLAGSHIP = "p2_error_list"
@@ -112,9 +112,9 @@ QUERIES = {
         p6_array_projection, p7_variant_lookup, p7_variant_axes, i8_label_rollup, i10_turn_checks, i13_hourly_events, i13_sessions,
     )
 }
-QUERIES |= joins.QUERIES
+QUERIES |= joins.QUERIES | more.QUERIES
 
-ORACLES: dict[str, str] = joins.ORACLES | {
+ORACLES: dict[str, str] = joins.ORACLES | more.ORACLES | {
     "p1_healthcheck": f"SELECT '{HEALTHY}' AS status",
     "p2_error_list": """
 WITH d AS (SELECT conv_id, CASE WHEN role = 'system' THEN '' ELSE role END AS m, min(turn) AS f FROM conversations GROUP BY ALL),

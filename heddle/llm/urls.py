@@ -7,8 +7,11 @@ whole host fits. A host is blocked where its distrust exceeds its trust by more
 
 Scores are whole numbers of parts (``UNIT`` in all), so sums do not depend on the order of their
 rows and every run gives the same verdicts. Links are summed per pair of hosts before they
-travel, a round moves one row per pair, and lineage is cut every few rounds by a written table. After ``ROUNDS`` rounds
-``DAMPING ** ROUNDS`` of the flow (4 %) is unsettled at most; hosts that many links from every seed have no score.
+travel, a round moves one row per pair, and lineage is cut every few rounds by a written table. What a round still moves is
+``DAMPING`` times what the one before moved at most, so the number of rounds follows from the number of hosts: all that later rounds
+could add anywhere is less than the threshold of one host (``rounds_for``; some 100 rounds for a million hosts). Flow that
+comes to a host without links goes back to the seeds; as that scales all scores of a kind alike, it is done once, at the end, by bringing each kind's
+sum to ``UNIT``.
 
 Defined results: a null url, or one without ``://``, has empty host and path, fits no rule, joins no graph
 and is allowed; a null page has no links; long pages are searched whole; repeated rows are judged on their own (their links count
@@ -18,6 +21,8 @@ columns pass through unless they have the name of an output column, which then w
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +38,6 @@ RULES = (
 
 UNIT = 10**15
 DAMPING = 0.85
-ROUNDS = 20
 #: A host is blocked where distrust - trust exceeds this share of the mean score a host can have.
 THRESHOLD = 0.1
 SETTLE_EVERY = 5
@@ -53,7 +57,9 @@ def path_of(url: Column) -> Column:
 
 def host_rules(hosts: DataFrame, rules=RULES) -> DataFrame:
     """``host, rules``: for each distinct host that any rule's host fits, those rules, longest first."""
-    given = hosts.sparkSession.createDataFrame([(v, h, p) for v, h, p in rules], "verdict string, rule_host string, path string")
+    kind = "array<struct<verdict:string,rule_host:string,path:string>>"
+    rows = F.array(*[F.struct(*map(F.lit, r)) for r in rules]).cast(kind)
+    given = hosts.sparkSession.range(1).select(F.inline(rows))
     labels = F.split("host", "[.]")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")
@@ -74,7 +80,16 @@ def links(pages: DataFrame) -> DataFrame:
     return named.filter("src <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def rounds_for(n_hosts: int, threshold: float = THRESHOLD, damping: float = DAMPING) -> int:
+    """Rounds after which what is unsettled, scaled as the scores are, is less than the threshold of one host.
+
+    After k rounds ``damping ** k`` of the flow is unsettled, a kind's sum is ``1 - damping`` at least, and later rounds add up to
+    ``1 / (1 - damping)`` times the next.
+    """
+    return math.ceil(math.log(threshold / max(1, n_hosts) * (1 - damping) ** 2) / math.log(damping))
+
+
+def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, rounds: int, damping: float = DAMPING) -> DataFrame:
     """``host, trust, distrust`` in parts of ``UNIT``; ``trusted`` and ``blocked`` hold distinct hosts."""
     edges = settle(edges)
 
@@ -98,6 +113,10 @@ def propagate(edges: DataFrame, trusted: DataFrame, blocked: DataFrame, rounds:
             scores = moved.union(again).groupBy("kind", "host").agg(F.sum("score").alias("score")).filter("score > 0")
             if k % SETTLE_EVERY == 0:
                 scores = settle(scores)
+        scores = settle(scores)
+        sums = scores.groupBy("kind").agg(F.sum("score").alias("all"))  # two rows
+        wide = F.call_function("div", F.col("score").cast("decimal(19,0)") * F.lit(UNIT), F.col("all").cast("decimal(19,0)"))
+        scores = scores.join(F.broadcast(sums), "kind").select("kind", "host", wide.alias("score"))
     of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("score"))), F.lit(0)).alias(kind)
     return scores.groupBy("host").agg(of("trust"), of("distrust"))
 
@@ -114,15 +133,15 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFr
         allowed = urls.select("host", "path").distinct().join(ruled, "host").filter(F.get(fitting, F.lit(0))["verdict"] == "allow")
         trusted = settle(allowed.select("host").distinct())
         blocked = ruled.filter(whole).select("host").join(trusted, "host", "left_anti")
-        scores = settle(propagate(links(urls), trusted, blocked))
-        known = ruled.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_hosts"))  # one row
+        n_hosts = max(1, ruled.count())
+        scores = settle(propagate(links(urls), trusted, blocked, rounds_for(n_hosts, threshold)))
         told = ("host", "path", "rule", "verdict", "trust", "distrust")
         kept = [c for c in pages.columns if c.lower() not in told]
         host, path, its, rules_, trust, distrust, least = unused(pages, "host", "path", "its", "rules", "trust", "distrust", "least")
-        info = keep(ruled.join(scores, "host", "left").join(F.broadcast(known)).select(
+        info = keep(ruled.join(scores, "host", "left").select(
             F.col("host").alias(its), F.col("rules").alias(rules_),
             F.coalesce("trust", F.lit(0)).alias(trust), F.coalesce("distrust", F.lit(0)).alias(distrust),
-            F.floor(F.lit(UNIT) * threshold / F.col("n_hosts")).alias(least),
+            F.lit(math.floor(UNIT * threshold / n_hosts)).alias(least),
         ))
     named = pages.withColumns({host: host_of(F.col("url")), path: path_of(F.col("url"))})
     first = F.get(F.filter(rules_, lambda r: F.startswith(F.col(path), r["path"])), F.lit(0))
@@ -138,25 +157,19 @@ def op3_url_filters(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    """SQL for the query's rows, with a common table for each round."""
-    steps, low = [], "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    for k in range(1, ROUNDS + 1):
-        steps.append(
-            f"s{k} AS MATERIALIZED (SELECT kind, host, sum(score)::BIGINT AS score FROM ("
-            f"SELECT f.kind, f.dst AS host, floor(score * share * {DAMPING})::BIGINT AS score FROM f JOIN s{k - 1} s ON f.kind = s.kind AND f.src = s.host "
-            f"UNION ALL SELECT kind, host, floor(score * (1 - {DAMPING}))::BIGINT FROM s0) GROUP BY ALL HAVING sum(score) > 0)"
-        )
+    """SQL for the query's rows; the rounds are a recursive table."""
+    low = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
     return (
         f"""
-WITH r(verdict, rh, rp) AS (VALUES {rules}),
+WITH RECURSIVE r(verdict, rh, rp) AS (VALUES {rules}),
 p AS (
   SELECT page_id, html, {low.format("coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '')")} AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 hp AS (SELECT DISTINCT host, path FROM p),
 v AS (
-  SELECT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
-  FROM hp JOIN r ON (host = rh OR suffix(host, '.' || rh)) AND starts_with(path, rp) GROUP BY ALL),
+  SELECT host, path, rh || rp AS rule, verdict FROM hp JOIN r ON (host = rh OR suffix(host, '.' || rh)) AND starts_with(path, rp)
+  QUALIFY row_number() OVER (PARTITION BY host, path ORDER BY length(rh || rp) DESC, rp DESC, rh DESC, verdict DESC) = 1),
 trusted AS (SELECT DISTINCT host FROM v WHERE verdict = 'allow'),
 blocked AS (
   SELECT DISTINCT host FROM p JOIN r ON (host = rh OR suffix(host, '.' || rh)) AND rp = '/' AND verdict = 'block'
@@ -171,10 +184,18 @@ f AS MATERIALIZED (
 s0 AS MATERIALIZED (
   SELECT 'trust' AS kind, host, floor({UNIT} / (SELECT count(*) FROM trusted))::BIGINT AS score FROM trusted
   UNION ALL SELECT 'distrust', host, floor({UNIT} / (SELECT count(*) FROM blocked))::BIGINT FROM blocked),
-"""
-        + ",\n".join(steps)
-        + f""",
-fin AS (SELECT kind, host, score FROM s{ROUNDS} WHERE (SELECT count(*) FROM f) > 0 UNION ALL SELECT kind, host, score FROM s0 WHERE (SELECT count(*) FROM f) = 0),
+m AS MATERIALIZED (
+  SELECT CASE WHEN (SELECT count(*) FROM f) = 0 THEN 0
+    ELSE ceil(ln({THRESHOLD} / greatest(1, count(DISTINCT host)) * {(1 - DAMPING) ** 2}) / ln({DAMPING})) END AS rounds FROM p),
+it AS (
+  SELECT 0 AS k, kind, host, score FROM s0
+  UNION ALL SELECT k, kind, host, sum(score)::BIGINT FROM (
+    SELECT it.k + 1 AS k, f.kind, f.dst AS host, floor(it.score * f.share * {DAMPING})::BIGINT AS score FROM it JOIN f ON f.kind = it.kind AND f.src = it.host
+    UNION ALL SELECT t.k + 1, s0.kind, s0.host, floor(s0.score * (1 - {DAMPING}))::BIGINT FROM s0 CROSS JOIN (SELECT DISTINCT k FROM it) t)
+  WHERE k <= (SELECT rounds FROM m) GROUP BY k, kind, host HAVING sum(score) > 0),
+fin AS (
+  SELECT kind, host, CASE WHEN k = 0 THEN score ELSE (score::HUGEINT * {UNIT} // sum(score) OVER (PARTITION BY kind))::BIGINT END AS score
+  FROM it WHERE k = (SELECT rounds FROM m)),
 g AS (
   SELECT host, coalesce(sum(score) FILTER (kind = 'distrust'), 0) - coalesce(sum(score) FILTER (kind = 'trust'), 0) AS bad
   FROM fin GROUP BY host)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 #: The white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 SPACES = " \t\n\x0b\x0c\r"
 
-#: Keys that are sent to every executor at most (some 60 MB); more are joined by shuffling.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of keys that are sent to every executor at most; more are joined by shuffling.
+BROADCAST_BYTES = 16 << 20
 
 #: Removes a query's shuffle files when it has ended, not when the driver happens to collect its garbage.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -101,12 +101,10 @@ def drop(df: DataFrame) -> None:
             _remove(df.sparkSession, folder)
 
 
-def few(keys: DataFrame, weight: Column | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``keys`` (a settled table of narrow rows), marked for broadcasting if there are ``most`` or fewer of them.
-
-    ``weight`` counts the parts of a row that has arrays.
-    """
-    held = keys.count() if weight is None else keys.agg(F.coalesce(F.sum(weight + 1), F.lit(0))).first()[0]
+def few(keys: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``keys`` (a settled table of narrow rows), marked for broadcasting if its values, written out, have ``most`` bytes or fewer."""
+    size = F.octet_length(F.to_json(F.struct(*keys.columns))) + 32
+    held = keys.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     return F.broadcast(keys) if held <= most else keys
 
 

@@ -217,7 +217,7 @@ def sanitise(docs: DataFrame, remove: float = REMOVE, text_col: str = "text", **
         told = keep(told.dropDuplicates(["digest"]).select("digest", F.sort_array(cut).alias("cut")))
     digest, cuts = unused(docs, "digest", "cut")
     keyed = docs.withColumn(digest, F.md5(text_of(docs, text_col).cast("binary")))
-    joined = keyed.join(few(told, F.size("cut")).select(F.col("digest").alias(f"{digest}_told"), F.col("cut").alias(cuts)), F.col(digest) == F.col(f"{digest}_told"), "left")
+    joined = keyed.join(few(told).select(F.col("digest").alias(f"{digest}_told"), F.col("cut").alias(cuts)), F.col(digest) == F.col(f"{digest}_told"), "left")
     text = F.col(f"`{text_col}`")
     piece = lambda a, b: F.substring(text, (a + 1).cast("int"), F.greatest(b - a, F.lit(0)).cast("int"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))

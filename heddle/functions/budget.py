@@ -54,7 +54,7 @@ class Batches:
         first = int(starts[0]) if len(starts) else len(weights)
         self.n += first  # these still fit the open batch
         self.weight += int(sums[first])
-        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(weights)], strict=True):
+        for a, b in zip(starts.tolist(), [*starts.tolist(), len(weights)][1:], strict=True):
             if self.n:
                 out.append((self.key, self.batch, self.first, self.n, self.weight))
             self.batch, self.first, self.n, self.weight = self.batch + 1, ids[a].as_py(), b - a, int(sums[b] - sums[a])

@@ -5,9 +5,12 @@ digit, the highest first; below each plane the ids are stably parted, zeros befo
 counts of ones at block edges (rank) and their inverse (select) a reader finds the id at a place, counts
 an id in a range and finds its k-th occurrence, without the ids themselves.
 
-File image: magic ``HWM1``, then as little-endian u32 the number of documents, ids and planes, then
+File image: magic ``HWM2``, then as little-endian u32 the number of documents, ids and planes, then
 the document ids (i64), a byte per document that says whether its id is null, the ids per document
-(u32), the length of each plane's Zstandard frame (u32), and the frames. Rank counts are rebuilt on opening.
+(u32), and a directory: for each plane and block of ``BLOCK`` bits the length of its Zstandard frame and its ones (u32 each);
+then the frames. An access, a count or a search unpacks one block of each plane (a range two), never whole planes.
+
+``save_shards`` keeps shards at a path, by the place of their first id, and ``load_shards`` and ``find_id`` read them from there in any session.
 
 The corpus is range-partitioned by document id and every partition writes its shards through Spark, one
 row per image, so a lost executor costs its own shards. Shards of one partition follow in ``seq``.
@@ -24,18 +27,20 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.llm.common import settle, table, text_of
 from heddle.llm.tokens import encoder
+from heddle.sources import frames
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 SHARD_IDS = 1 << 20
-BLOCK = 512
+#: Bits that are compressed together; whole bytes.
+BLOCK = 1 << 16
 
-MAGIC = b"HWM1"
+MAGIC = b"HWM2"
 SHARDS = "part int, seq int, n_docs long, n_ids long, image binary"
 
 
@@ -46,21 +51,25 @@ def build(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> byt
     planes = max(1, int(ids.max()).bit_length()) if len(ids) else 1
     x = ids.astype("u2") if planes <= 16 else ids.astype("u4")
     pack = zstandard.ZstdCompressor(level=1)
-    frames = []
+    framed, directory = [], []
     for p in range(planes - 1, -1, -1):
         ones = (x >> p) & 1 != 0
-        frames.append(pack.compress(np.packbits(ones).tobytes()))
+        bits = np.packbits(ones).tobytes()
+        for at in range(0, len(bits), BLOCK // 8):
+            part = bits[at : at + BLOCK // 8]
+            framed.append(pack.compress(part))
+            directory += [len(framed[-1]), int(np.bitwise_count(np.frombuffer(part, "u1")).sum(dtype="i8"))]
         if p:
             x = np.concatenate([x[~ones], x[ones]])
     return b"".join([
         MAGIC, struct.pack("<3I", len(doc_ids), len(ids), planes),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), bytes(d is None for d in doc_ids),
-        np.array(lengths, "<u4").tobytes(), np.array([len(f) for f in frames], "<u4").tobytes(), *frames,
+        np.array(lengths, "<u4").tobytes(), np.array(directory, "<u4").tobytes(), *framed,
     ])
 
 
 class Shard:
-    """Reads a file image."""
+    """Reads a file image, block by block as they are needed."""
 
     def __init__(self, image: bytes):
         import zstandard
@@ -79,34 +88,36 @@ class Shard:
         values, nulls = take("<i8", docs), take("u1", docs)
         self.doc_ids = [None if z else int(v) for v, z in zip(values, nulls, strict=True)]
         self.lengths = take("<u4", docs)
-        self.frames, unpack = [], zstandard.ZstdDecompressor()
-        for size in take("<u4", self.planes):
-            self.frames.append(np.frombuffer(unpack.decompress(image[at : at + int(size)]), "u1"))
-            at += int(size)
-        self._ranks: list[np.ndarray] | None = None
-
-    @property
-    def ranks(self) -> list[np.ndarray]:
-        """For each plane, the ones before each block and in all."""
-        if self._ranks is None:
-            self._ranks = []
-            for bits in self.frames:
-                full = np.zeros(-(-self.n // BLOCK) * (BLOCK // 8), "u1")
-                full[: len(bits)] = bits
-                ones = np.bitwise_count(full).reshape(-1, BLOCK // 8).sum(1, dtype="i8")
-                self._ranks.append(np.concatenate([[0], np.cumsum(ones)]))
-        return self._ranks
+        self.blocks = -(-self.n // BLOCK)
+        directory = take("<u4", 2 * self.planes * self.blocks).reshape(self.planes, self.blocks, 2).astype("i8")
+        self.image, self.unpack = image, zstandard.ZstdDecompressor().decompress
+        ends = at + np.cumsum(directory[:, :, 0].ravel())
+        self.edges = np.concatenate([[at], ends])
+        #: For each plane, the ones before each block and in all.
+        self.ranks = np.concatenate([np.zeros((self.planes, 1), "i8"), np.cumsum(directory[:, :, 1], axis=1)], axis=1)
+        self.open: dict[int, np.ndarray] = {}
+
+    def block(self, plane: int, number: int) -> np.ndarray:
+        """The bytes of a block; the last few dozen blocks are kept."""
+        key = plane * self.blocks + number
+        if (found := self.open.get(key)) is None:
+            if len(self.open) >= 4 * self.planes:
+                self.open.clear()
+            found = self.open[key] = np.frombuffer(self.unpack(self.image[self.edges[key] : self.edges[key + 1]]), "u1")
+        return found
 
     def _bit(self, plane: int, at: int) -> int:
-        return int(self.frames[plane][at >> 3]) >> (7 - (at & 7)) & 1
+        return int(self.block(plane, at // BLOCK)[at % BLOCK >> 3]) >> (7 - (at & 7)) & 1
 
     def rank(self, plane: int, bit: int, at: int) -> int:
         """How many of the plane's first ``at`` bits equal ``bit``."""
-        block = at // BLOCK
-        head = self.frames[plane][block * (BLOCK // 8) : at >> 3]
-        ones = int(self.ranks[plane][block]) + int(np.bitwise_count(head).sum(dtype="i8"))
-        if at & 7:
-            ones += (int(self.frames[plane][at >> 3]) >> (8 - (at & 7))).bit_count()
+        number, inside = divmod(at, BLOCK)
+        ones = int(self.ranks[plane][number])
+        if inside:
+            bits = self.block(plane, number)
+            ones += int(np.bitwise_count(bits[: inside >> 3]).sum(dtype="i8"))
+            if inside & 7:
+                ones += (int(bits[inside >> 3]) >> (8 - (inside & 7))).bit_count()
         return ones if bit else at - ones
 
     def select(self, plane: int, bit: int, k: int) -> int:
@@ -114,8 +125,7 @@ class Shard:
         ones = self.ranks[plane]
         before = ones if bit else np.minimum(np.arange(len(ones)) * BLOCK, self.n) - ones
         low = int(np.searchsorted(before, k, "right")) - 1
-        block = np.unpackbits(self.frames[plane][low * (BLOCK // 8) : (low + 1) * (BLOCK // 8)])
-        inside = np.flatnonzero(block[: self.n - low * BLOCK] == bit)
+        inside = np.flatnonzero(np.unpackbits(self.block(plane, low))[: self.n - low * BLOCK] == bit)
         return low * BLOCK + int(inside[k - int(before[low])])
 
     def _zeros(self, plane: int) -> int:
@@ -160,8 +170,11 @@ class Shard:
     def ids(self) -> np.ndarray:
         """All ids in order, as u32: the partings undone from the lowest plane up."""
         x = np.zeros(self.n, "u2" if self.planes <= 16 else "u4")
-        for p, bits in enumerate(reversed(self.frames)):
-            ones = np.unpackbits(bits, count=self.n).view(bool)
+        for p in range(self.planes):
+            plane = self.planes - 1 - p
+            keys = range(plane * self.blocks, (plane + 1) * self.blocks)
+            bits = b"".join(self.unpack(self.image[self.edges[k] : self.edges[k + 1]]) for k in keys)
+            ones = np.unpackbits(np.frombuffer(bits, "u1"), count=self.n).view(bool)
             zeros = self.n - int(np.count_nonzero(ones))
             above = np.empty_like(x)
             above[~ones] = x[:zeros]
@@ -212,14 +225,53 @@ def write_shards(
     return settle(ordered.mapInArrow(shards, SHARDS))
 
 
-def read_shards(shards: DataFrame) -> DataFrame:
-    """Per document, from the files: ``doc_id start n_tokens ids_crc32``."""
+def placed(shards: DataFrame) -> DataFrame:
+    """``shards`` with ``start``, the ids in all shards before."""
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("_n"))
     # One row per partition of the writer: a few thousand at most.
     firsts = parts.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_first"))
     inside = Window.partitionBy("part").orderBy("seq")
     sized = shards.select("part", "seq", (F.sum("n_ids").over(inside) - F.col("n_ids")).alias("_inside"))
     starts = sized.join(firsts, "part").select("part", "seq", (F.col("_first") + F.col("_inside")).alias("start"))
+    return shards.join(starts, ["part", "seq"])
+
+
+def save_shards(shards: DataFrame, uri: str) -> None:
+    """Keep ``shards`` at ``uri`` (see ``heddle.sources.frames``) until they are deleted, in place of what is there."""
+    kept = placed(shards).select("start", "n_docs", "n_ids", "image")
+    frames.write_frames(kept, uri, "start", mode="overwrite")
+
+
+def load_shards(spark: SparkSession, uri: str, least: int | None = None, most: int | None = None) -> DataFrame:
+    """``start, n_docs, n_ids, image`` of the shards at ``uri`` whose first id is at a place from ``least`` to ``most``; others are not read."""
+    return frames.read_frames(spark, uri, least, most)
+
+
+def occurrences(shards: DataFrame, value: int) -> DataFrame:
+    """``start, n``: how often an id occurs in each shard, from one or two blocks of each plane."""
+
+    def count(batches):
+        for batch in batches:
+            n = [Shard(image.as_py()).count(value) for image in batch["image"]]
+            yield pa.RecordBatch.from_arrays([batch["start"], pa.array(n, pa.int64())], names=["start", "n"])
+
+    return shards.select("start", "image").mapInArrow(count, "start long, n long")
+
+
+def find_id(spark: SparkSession, uri: str, value: int, k: int) -> int | None:
+    """The place, among all ids at ``uri``, of the k-th (from 0) occurrence of an id. The shard that has it is read alone."""
+    counts = settle(occurrences(load_shards(spark, uri), value))
+    # One row for each shard of a million ids.
+    before = (F.sum("n").over(Window.orderBy("start")) - F.col("n")).alias("before")
+    held = counts.select("start", "n", before).filter((F.col("before") <= k) & (F.col("before") + F.col("n") > k)).first()
+    if held is None:
+        return None
+    shard = load_shards(spark, uri, held["start"], held["start"]).select("image").first()
+    return held["start"] + Shard(bytes(shard["image"])).find(value, k - held["before"])
+
+
+def read_shards(shards: DataFrame) -> DataFrame:
+    """Per document, from the files (``placed`` or not): ``doc_id start n_tokens ids_crc32``."""
 
     def read(batches):
         for batch in batches:
@@ -233,7 +285,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    whole = shards.select("part", "seq", "image").join(starts, ["part", "seq"])
+    whole = shards if "start" in shards.columns else placed(shards)
     return whole.select("start", "image").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -5,16 +5,16 @@ value, so it depends on the last 16 bytes alone. A chunk ends where the hash's t
 before ``SMALLEST`` bytes, and at ``LARGEST`` at the latest), so the same passage falls into the same chunks
 wherever it stands, whatever is inserted before it. Chunks are compared by 128-bit digest.
 
-A chunk that occurs more than once is repeated; the occurrence in the least document (by id, digest
-and place) is the first. Chunks that lie side by side and are repeated form a run; runs under
-``RUN`` bytes are left alone, as short strings are common in any language. The rest is removed from
-all documents but those that hold the first occurrence. A passage's edges lie within chunks that differ, so some
-30 bytes at its start and 15 at its end are not seen as repeated.
+Single chunks of a few words are common in any language, so they are not compared alone. What is compared are windows of
+neighbouring chunks: from each chunk on the shortest that has ``RUN`` bytes, and up to each chunk's end the shortest that has so many. A window that
+occurs more than once is a repeated passage; the occurrence in the least document (by id, digest and place) is the first. Bytes
+of windows that are not first are removed, but for those that also lie in a window that is. So all that goes stands elsewhere as a string of
+``RUN`` bytes or more. A passage's edges lie within chunks that differ, so some 30 bytes at its start and 15 at its end are not seen as repeated.
 
-All chunks are counted by digest alone; places follow for those found again, and texts move once, at the end.
+All windows are counted by digest alone; places follow for those found again, and texts move once, at the end.
 
-Defined results: null and empty texts have no chunks; a long text is cut whole; rows that repeat wholly (id and text) are one document and give
-equal rows (its chunks count once for each row); equal or null ids with other texts are documents of their own (a null id is least); an empty
+Defined results: null and empty texts have no chunks, texts under ``RUN`` bytes no windows; a long text is cut whole; rows that repeat wholly (id and text) are one document and give
+equal rows (its windows count once for each row); equal or null ids with other texts are documents of their own (a null id is least); an empty
 table gives no rows; other columns, whatever their names, are dropped.
 """
 
@@ -35,7 +35,7 @@ LARGEST = 256
 MASK_BITS = 4
 RUN = 160
 
-CHUNKS = "doc_id long, digest binary, chunk binary, start int, size int"
+WINDOWS = "doc_id long, digest binary, window binary, start long, size long"
 
 
 @lru_cache(maxsize=1)
@@ -71,31 +71,73 @@ def cuts(data: bytes, smallest: int = SMALLEST, largest: int = LARGEST, bits: in
     return ends
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """``doc_id, digest, chunk, start, size`` for every chunk of every row."""
+def spans(data: bytes, run: int = RUN) -> np.ndarray:
+    """Rows (start, end) of the windows of ``data``: from each chunk on, and up to each chunk's end, the shortest of ``run`` bytes."""
+    if len(data) < run:
+        return np.zeros((0, 2), "i8")
+    ends = np.array(cuts(data), "i8")
+    starts = np.concatenate([[0], ends[:-1]])
+    to = np.searchsorted(ends, starts + run)
+    back = np.searchsorted(starts, ends - run, "right") - 1
+    on, up = to < len(ends), back >= 0
+    pairs = np.concatenate([np.stack([starts[on], ends[to[on]]], 1), np.stack([starts[back[up]], ends[up]], 1)])
+    return np.unique(pairs, axis=0)
 
-    def run(batches):
+
+def windows(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """``doc_id, digest, window, start, size`` for every window of every row."""
+
+    def cut(batches):
         import xxhash
 
         hashed = xxhash.xxh3_128_digest
         for batch in batches:
-            ids, digests, found, starts, sizes = [], [], [], [], []
+            ids, digests, found, places = [], [], [], [np.zeros((0, 2), "i8")]
             for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 raw = text.encode()
-                ends = cuts(raw)
-                begins = [0, *ends[:-1]]
-                ids += [doc] * len(ends)
-                digests += [hashlib.md5(raw).digest()] * len(ends)
-                found += [hashed(raw[a:b]) for a, b in zip(begins, ends, strict=False)]
-                starts += begins[: len(ends)]
-                sizes += [b - a for a, b in zip(begins, ends, strict=False)]
-            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32()]
+                view, rows = memoryview(raw), spans(raw, run)
+                ids += [doc] * len(rows)
+                digests += [hashlib.md5(raw).digest()] * len(rows)
+                found += [hashed(view[a:b]) for a, b in rows.tolist()]
+                places.append(rows)
+            place = np.concatenate(places)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip((ids, digests, found, starts, sizes), kinds, strict=True)],
-                names=["doc_id", "digest", "chunk", "start", "size"],
-            )
-
-    return docs.select("doc_id", "text").mapInArrow(run, CHUNKS)
+                [
+                    pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(found, pa.binary()),
+                    pa.array(place[:, 0]), pa.array(place[:, 1] - place[:, 0]),
+                ],
+                names=["doc_id", "digest", "window", "start", "size"],
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(cut, WINDOWS)
+
+
+def union(rows: list[tuple[int, int]]) -> list[list[int]]:
+    """Sorted ranges (start, end), put together where they touch."""
+    out: list[list[int]] = []
+    for a, b in rows:
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def minus(some: list[list[int]], others: list[list[int]]) -> list[list[int]]:
+    """What of the ranges ``some`` no range of ``others`` covers; both sorted and apart."""
+    out, k = [], 0
+    for a, b in some:
+        while k < len(others) and others[k][1] <= a:
+            k += 1
+        i = k
+        while i < len(others) and others[i][0] < b:
+            if others[i][0] > a:
+                out.append([a, others[i][0]])
+            a = max(a, others[i][1])
+            i += 1
+        if a < b:
+            out.append([a, b])
+    return out
 
 
 def dedup(docs: DataFrame, run: int = RUN, text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -105,14 +147,14 @@ def dedup(docs: DataFrame, run: int = RUN, text_col: str = "text", keep_text: bo
     """
     named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
     with passing() as keep:
-        cut = chunks(named)
-        again = settle(cut.groupBy("chunk").agg(F.count("*").alias("n")).filter("n > 1").select("chunk"))
-        held = settle(cut.join(again, "chunk"))
+        cut = windows(named, run)
+        again = settle(cut.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window"))
+        held = settle(cut.join(again, "window"))
         place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), "digest", "start")
-        # Written before it is joined, so that a chunk of many places can be split.
-        firsts = settle(held.groupBy("chunk").agg(F.min(place).alias("least")))
+        # Written before it is joined, so that a window of many places can be split.
+        firsts = settle(held.groupBy("window").agg(F.min(place).alias("least")))
         part = F.struct("start", "size", (place == F.col("least")).alias("first"))
-        parts = held.join(firsts, "chunk").groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set(part)).alias("parts"))
+        parts = held.join(firsts, "window").groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set(part)).alias("parts"))
         parts = keep(parts.select(F.col("doc_id").alias("_doc"), F.col("digest").alias("_digest"), "parts"))
 
     def apply(batches):
@@ -120,20 +162,9 @@ def dedup(docs: DataFrame, run: int = RUN, text_col: str = "text", keep_text: bo
             rows = []
             for doc, text, found in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "parts")), strict=True):
                 raw = text.encode()
-                runs: list[list] = []
-                for p in found or []:
-                    if runs and runs[-1][1] == p["start"]:
-                        runs[-1][1] += p["size"]
-                        runs[-1][2].append(p)
-                    else:
-                        runs.append([p["start"], p["start"] + p["size"], [p]])
-                runs = [r for r in runs if r[1] - r[0] >= run]
-                out: list[list[int]] = []
-                for p in (p for r in runs for p in r[2] if not p["first"]):
-                    if out and out[-1][1] == p["start"]:
-                        out[-1][1] += p["size"]
-                    else:
-                        out.append([p["start"], p["start"] + p["size"]])
+                ranges = [(p["start"], p["start"] + p["size"], p["first"]) for p in found or []]
+                runs = union([r[:2] for r in ranges])
+                out = minus(union([r[:2] for r in ranges if not r[2]]), union([r[:2] for r in ranges if r[2]]))
                 kept, at = [], 0
                 for a, b in out:
                     kept.append(raw[at:a])
@@ -141,7 +172,7 @@ def dedup(docs: DataFrame, run: int = RUN, text_col: str = "text", keep_text: bo
                 left = b"".join([*kept, raw[at:]])
                 rows.append((
                     doc, len(raw), sum(r[1] - r[0] for r in runs), len(raw) - len(left), len(out),
-                    hashlib.sha256(left).hexdigest(), [r[:2] for r in runs], out, left,
+                    hashlib.sha256(left).hexdigest(), runs, out, left,
                 ))
             names = ["doc_id", "n_bytes", "n_repeated", "n_removed", "n_spans", "kept_sha256", "repeated", "removed", "kept"]
             spans = pa.list_(pa.list_(pa.int64()))

@@ -516,28 +516,50 @@ def test_chunks_match_brute_force(spark, odd):
                 cut.append((start, i + 1))
                 start = i + 1
         cut += [(start, len(raw))] * (start < len(raw))
-        held[doc, text] = cut
-        for a, b in cut:
+        long = lambda a, b: b - a >= chunks.RUN
+        ends = [b for _, b in cut]
+        spans = {(a, next(b for b in ends if long(a, b))) for a, _ in cut if long(a, len(raw))}
+        spans |= {(max(a for a, _ in cut if long(a, b)), b) for b in ends if long(0, b)}
+        held[doc, text] = spans
+        for a, b in spans:
             places[raw[a:b]].append((-(1 << 63) if doc is None else doc, hashlib.md5(raw).digest(), a))
     wanted = Counter()
     for doc, text in rows:
-        raw, out, run, repeated = (text or "").encode(), [], [], 0
+        raw = (text or "").encode()
         whose = (-(1 << 63) if doc is None else doc, hashlib.md5(raw).digest())
-        for a, b in [*held[doc, text], (len(raw) + 1, len(raw) + 1)]:
-            if run and (run[-1][1] != a or len(places[raw[a:b]]) < 2):
-                if run[-1][1] - run[0][0] >= chunks.RUN:
-                    repeated += run[-1][1] - run[0][0]
-                    out += [(x, y) for x, y in run if min(places[raw[x:y]]) != (*whose, x)]
-                run = []
-            if len(places.get(raw[a:b], ())) > 1:
-                run.append((a, b))
-        left = bytes(c for i, c in enumerate(raw) if not any(a <= i < b for a, b in out))
-        spans = sum(1 for i, (a, _) in enumerate(out) if not i or out[i - 1][1] != a)
-        wanted[doc, len(raw), repeated, len(raw) - len(left), spans, hashlib.sha256(left).hexdigest()] += 1
+        seen, first, later = set(), set(), set()
+        for a, b in held[doc, text]:
+            if len(places[raw[a:b]]) > 1:
+                seen |= set(range(a, b))
+                (first if min(places[raw[a:b]]) == (*whose, a) else later).update(range(a, b))
+        out = later - first
+        left = bytes(c for i, c in enumerate(raw) if i not in out)
+        n_spans = sum(i - 1 not in out for i in out)
+        wanted[doc, len(raw), len(seen), len(out), n_spans, hashlib.sha256(left).hexdigest()] += 1
     found = chunks.dedup(docs, keep_text=False).collect()
     assert Counter((r.doc_id, r.n_bytes, r.n_repeated, r.n_removed, r.n_spans, r.kept_sha256) for r in found) == wanted
 
 
+def test_chunks_remove_only_what_stands_elsewhere(spark):
+    """On texts whose short phrases all repeat, every byte removed lies in a string of RUN bytes that another place holds."""
+    rnd = random.Random(19)
+    phrases = [" ".join(_prose(rnd, 5)) for _ in range(40)]  # some 30 bytes each, repeated everywhere
+    texts = [" ".join(rnd.choice(phrases) for _ in range(rnd.randint(20, 60))).encode() for _ in range(80)]
+    texts += [t[200:900] for t in texts[:10]]
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id long, text string")
+    seen = Counter(t[i : i + chunks.RUN] for t in texts for i in range(len(t) - chunks.RUN + 1))
+    for r in chunks.dedup(df, keep_text=False).collect():
+        raw = texts[r.doc_id]
+        known = set()
+        for i in range(len(raw) - chunks.RUN + 1):
+            if seen[raw[i : i + chunks.RUN]] > 1:
+                known |= set(range(i, i + chunks.RUN))
+        for a, b in r.removed:
+            assert set(range(a, b)) <= known
+    assert chunks.minus([[0, 10], [20, 30]], [[2, 4], [8, 22], [29, 40]]) == [[0, 2], [4, 8], [22, 29]]
+    assert chunks.union([(0, 5), (5, 7), (6, 6), (9, 10)]) == [[0, 7], [9, 10]]
+
+
 def test_chunks_find_short_passages(spark):
     rnd, texts, sizes = random.Random(17), [], []
     for k in range(300):

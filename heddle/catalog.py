@@ -1,6 +1,6 @@
 """Queries outside the llm subpackage and the SQL that gives the same rows, by name.
 
-Names that start with p are the parity set; those that start with i are reports beyond it, those with j joins.
+Names that start with p are the parity set; those that start with i are reports beyond it, those with j joins, those with s sources.
 """
 
 from __future__ import annotations
@@ -39,6 +39,19 @@ def p2_error_list(spark, sf_dir):
     return shown.select("conv_id", "kind", F.array_join("items", "|").alias("items"))
 
 
+def p2_error_values(spark, sf_dir):
+    """The same lists with each message's last turn, which is kept at the message's first place."""
+    rows = sources.table(spark, sf_dir, "conversations")
+    message = F.when(F.col("role") == "system", F.lit("")).otherwise(F.col("role"))
+    lists = rows.groupBy("conv_id").agg(
+        F.transform(
+            F.sort_array(F.collect_list(F.struct("turn", message.alias("message")))), lambda x: F.struct(x["message"].alias("message"), x["turn"].alias("turn"))
+        ).alias("errors")
+    )
+    shown = errors.reduce_errors(lists, "conv_id", whole=True)
+    return shown.select("conv_id", "kind", F.array_join(F.transform("items", lambda x: F.concat_ws(":", x["message"], x["turn"])), "|").alias("items"))
+
+
 def p3_option_search(spark, sf_dir):
     return options.search(sources.table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "RING")
 
@@ -108,7 +121,7 @@ def i13_sessions(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_healthcheck, p2_error_list, p3_option_search, p3_empty_result, p4_constraints, p5_record_update, p6_item_projection,
+        p1_healthcheck, p2_error_list, p2_error_values, p3_option_search, p3_empty_result, p4_constraints, p5_record_update, p6_item_projection,
         p6_array_projection, p7_variant_lookup, p7_variant_axes, i8_label_rollup, i10_turn_checks, i13_hourly_events, i13_sessions,
     )
 }
@@ -120,6 +133,11 @@ ORACLES: dict[str, str] = joins.ORACLES | more.ORACLES | {
 WITH d AS (SELECT conv_id, CASE WHEN role = 'system' THEN '' ELSE role END AS m, min(turn) AS f FROM conversations GROUP BY ALL),
 k AS (SELECT conv_id, count(*) AS keys, coalesce(string_agg(m, '|' ORDER BY f) FILTER (m <> ''), '') AS items,
   count(*) FILTER (m <> '') AS shown FROM d GROUP BY conv_id)
+SELECT conv_id, CASE WHEN keys = 1 THEN 'scalar' ELSE 'list' END AS kind, items FROM k WHERE keys > 1 OR shown > 0""",
+    "p2_error_values": """
+WITH d AS (SELECT conv_id, CASE WHEN role = 'system' THEN '' ELSE role END AS m, min(turn) AS f, max(turn) AS l FROM conversations GROUP BY ALL),
+k AS (SELECT conv_id, count(*) AS keys, coalesce(string_agg(m || ':' || l, '|' ORDER BY f) FILTER (m <> ''), '') AS items,
+  count(*) FILTER (m <> '') AS shown FROM d GROUP BY conv_id)
 SELECT conv_id, CASE WHEN keys = 1 THEN 'scalar' ELSE 'list' END AS kind, items FROM k WHERE keys > 1 OR shown > 0""",
     "p3_option_search": "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ring')",
     "p3_empty_result": f"""

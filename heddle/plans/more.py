@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions.budget import Batches
 from heddle.operators import distinct, rolling, topk
-from heddle.sources import table
+from heddle.sources import frames, table
 from heddle.streaming import carts, joins
 
 
@@ -103,10 +103,21 @@ def event_batches(spark, sf_dir: str) -> DataFrame:
     return Batches(rows.asTable().partitionBy("user_id").orderBy("ts", "event_id"), F.lit(10_000))
 
 
+def frames_round_trip(spark, sf_dir: str) -> DataFrame:
+    """All lines, written to the library's own files by order and read back, summed for each order."""
+    place = frames.scratch(spark)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate")
+    frames.write_frames(lines, place, "l_orderkey")
+    back = frames.read_frames(spark, place)
+    return back.groupBy("l_orderkey").agg(
+        F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"), F.max("l_shipdate").alias("last"), F.min("l_returnflag").alias("flag")
+    )
+
+
 QUERIES = {
     "i14_carts": carts_of_users, "i15_views_then_purchases": views_then_purchases, "i16_first_of_each_type": first_of_each_type,
     "i17_rolling_spend": rolling_spend, "i18_top_lines": top_lines, "i18_top_orders": top_orders, "i19_daily_users": daily_users,
-    "i20_lines_lost": lines_lost, "i20_lines_kept": lines_kept, "i21_event_props": event_props, "i22_event_batches": event_batches,
+    "i20_lines_lost": lines_lost, "i20_lines_kept": lines_kept, "i21_event_props": event_props, "i22_event_batches": event_batches, "s1_frames_round_trip": frames_round_trip,
 }
 
 _BOTH = """
@@ -149,4 +160,6 @@ r AS (
   UNION ALL SELECT e.user_id, e.i, e.event_id, r.batch + (r.held + e.cents > 10000)::BIGINT, CASE WHEN r.held + e.cents > 10000 THEN e.cents ELSE r.held + e.cents END
   FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
 SELECT user_id AS key, batch, arg_min(event_id, i) AS first_id, count(*) AS n, max(held) AS weight FROM r GROUP BY ALL""",
+    "s1_frames_round_trip": """
+SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS quantity, max(l_shipdate) AS last, min(l_returnflag) AS flag FROM lineitem GROUP BY l_orderkey""",
 }

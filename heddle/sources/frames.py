@@ -21,7 +21,10 @@ table of its schema; a folder without versions is an error; an appending job mus
 
 from __future__ import annotations
 
+import atexit
 import json
+import re
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -277,6 +280,27 @@ def read_frames(spark: SparkSession, uri: str, least: int | None = None, most: i
     return spark.read.format(NAME).options(**{k: v for k, v in options.items() if v is not None}).load(uri)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new place in the folder that the cluster names in ``spark.checkpoint.dir``, deleted when the driver's Python ends.
+
+    Where that is unset, a temporary folder stands in for it if driver and executors are one process; else it is an error.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="heddle-")
+    uri = f"{re.sub('^file:/+', '/', shared).rstrip('/')}/heddle-frames-{uuid.uuid4().hex}"
+
+    def remove() -> None:
+        store, path = _place(uri)
+        if store.get_file_info(path).type == fs.FileType.Directory:
+            store.delete_dir(path)
+
+    atexit.register(remove)
+    return uri
+
+
 def vacuum(uri: str) -> int:
     """Delete files that no version which counts names, when no job writes or reads; returns how many."""
     store, path = _place(uri)

@@ -30,6 +30,13 @@ def test_error_list(spark, given, kind, items):
     assert [(r.kind, r["items"]) for r in told] == [("content", ["x"])]
 
 
+def test_whole_errors(spark):
+    schema = "k int, content string, errors array<struct<message:string,extra:int>>"
+    lists = spark.createDataFrame([(1, "", [("a", 1), ("b", 2), ("a", 3), None]), (2, "x", [("a", 1)]), (3, None, [None])], schema)
+    found = errors.reduce_errors(lists, "k", content="content", whole=True).collect()
+    assert sorted((r.k, r.kind, [tuple(x) for x in r["items"]]) for r in found) == [(1, "list", [("a", 3), ("b", 2)]), (2, "content", [("x", None)])]
+
+
 def test_search_constraints_update_lookup(spark):
     rows = spark.createDataFrame([("Next.js", True), ("next", None), (None, False)], "item string, c boolean")
     assert options.search(rows, "item", "NEXT").count() == 2

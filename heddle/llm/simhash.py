@@ -102,7 +102,7 @@ def _wide(hashes: np.ndarray, words: int) -> bytes:
 
 
 def wide_fingerprints(docs: DataFrame, shingle: int, words: int = WORDS, text_col: str = "text") -> DataFrame:
-    """``doc_id, row, id, wide`` of each row, ``row`` a digest of its id and text and ``id`` a 64-bit hash of its set of shingles."""
+    """``doc_id, row, id, more, wide`` of each row: ``row`` a digest of its id and text, ``id`` and ``more`` 64 bits each of a hash of its set of shingles."""
 
     def run(batches):
         import xxhash
@@ -110,12 +110,13 @@ def wide_fingerprints(docs: DataFrame, shingle: int, words: int = WORDS, text_co
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch["text"].to_pylist()]
             found = [_wide(x, words) for x in sets]
-            ids = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], "u8").view("i8")
-            columns = [batch["doc_id"], batch["row"], pa.array(ids), pa.array(found, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "id", "wide"])
+            both = b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets)
+            halves = np.frombuffer(both, "<i8").reshape(-1, 2)
+            columns = [batch["doc_id"], batch["row"], pa.array(halves[:, 0]), pa.array(halves[:, 1]), pa.array(found, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "id", "more", "wide"])
 
     named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _row_key(docs, text_col).alias("row"), text_of(docs, text_col).alias("text"))
-    return named.mapInArrow(run, "doc_id long, row binary, id long, wide binary")
+    return named.mapInArrow(run, "doc_id long, row binary, id long, more long, wide binary")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text") -> DataFrame:
@@ -554,11 +555,25 @@ def alike_roots(docs: DataFrame, classes: DataFrame, shingle: int, leaf: int, li
         walked = settle(again.select("id", "wide", "root", F.coalesce("barred", F.array().cast("array<long>")).alias("barred")))
 
 
+def _classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``prints`` with an id for each set of shingles, and ``id, wide, one`` of each. Sets that share 64 bits of their hash but not all 128 get ids anew."""
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    group = lambda df: settle(df.groupBy("id").agg(
+        F.min("wide").alias("wide"), F.min(row).alias("one"), F.min("more").alias("least"), F.max("more").alias("greatest")
+    ))
+    classes = group(prints)
+    mixed = settle(classes.filter("least <> greatest").select(F.col("id").alias("_id")))
+    if not mixed.isEmpty():
+        marked = prints.join(few(mixed), F.col("id") == F.col("_id"), "left")
+        anew = F.when(F.col("_id").isNull(), F.col("id")).otherwise(F.xxhash64("id", "more"))
+        prints = settle(marked.select("doc_id", "row", anew.alias("id"), "more", "wide"))
+        classes = group(prints)
+    return prints, classes.drop("least", "greatest")
+
+
 def _likeness(docs: DataFrame, shingle: int, leaf: int, text_col: str, likeness: float) -> tuple[DataFrame, DataFrame]:
     """``doc_id, id`` of each row, and ``id, one, root`` of each class; ``one`` is its least row, without an id last."""
-    prints = settle(wide_fingerprints(docs, shingle, text_col=text_col))
-    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    classes = settle(prints.groupBy("id").agg(F.min("wide").alias("wide"), F.min(row).alias("one")))
+    prints, classes = _classes(settle(wide_fingerprints(docs, shingle, text_col=text_col)))
     roots = alike_roots(docs, classes, shingle, leaf, likeness, text_col)
     rooted = classes.join(roots, classes["id"] == roots["u"], "left").select("id", "one", F.coalesce("root", "id").alias("root"))
     return prints.select("doc_id", "id"), settle(rooted)
@@ -569,7 +584,7 @@ def near_copies(
 ) -> DataFrame:
     """``doc_id, component_id`` for each row of ``docs``, by likeness (see above).
 
-    Texts of one set of shingles (they go by a 64-bit hash of it) have the same Jaccard similarity to all others, so one of
+    Texts of one set of shingles (they go by a 128-bit hash of it) have the same Jaccard similarity to all others, so one of
     them is compared. Texts that only have the same wide fingerprint are compared like any other candidates.
     """
     with passing() as keep:

@@ -500,6 +500,16 @@ def test_hot_slices_are_parted(spark):
         assert sum(hit) == size
 
 
+def test_sets_that_share_half_a_hash_stay_apart(spark):
+    rows = [(1, b"a", 7, 1, b"w"), (2, b"b", 7, 2, b"x"), (3, b"c", 7, 1, b"w"), (4, b"d", 8, 1, b"y")]
+    prints, classes = simhash._classes(spark.createDataFrame(rows, "doc_id long, row binary, id long, more long, wide binary"))
+    of = {r.doc_id: r.id for r in prints.collect()}
+    assert of[1] == of[3] != of[2] and of[4] == 8 and len(set(of.values())) == 3
+    assert sorted((r.id, r.one.doc_id) for r in classes.collect()) == sorted([(of[1], 1), (of[2], 2), (8, 4)])
+    alone = simhash._classes(spark.createDataFrame(rows[:1] + rows[3:], prints.schema))[1]
+    assert sorted(r.id for r in alone.collect()) == [7, 8] and alone.columns == ["id", "wide", "one"]
+
+
 def test_chunks_match_brute_force(spark, odd):
     rnd = random.Random(16)
     parts = ["".join(rnd.choice("abcdefghij klmnopß") for _ in range(rnd.randint(5, 900))) for _ in range(12)]

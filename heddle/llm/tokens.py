@@ -15,12 +15,12 @@ from functools import lru_cache
 
 #: Letters after which a cut is certain if an ASCII character that is no letter follows.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_NEXT = r"(?=[\x00-\x40\x5b-\x60\x7b-\x7f]|\Z)"
-_PIECE = rf"(?:[{_LETTERS}]+{_NEXT}|[^\s{_LETTERS}]+[{_LETTERS}]+{_NEXT}|[^\s{_LETTERS}]+(?=\s|\Z)|\S+)"
+_NEXT = r"(?![^\x00-\x40\x5b-\x60\x7b-\x7f])"
+_PIECE = rf"(?:[{_LETTERS}]+{_NEXT}|[^\s{_LETTERS}]+[{_LETTERS}]+{_NEXT}|[^\s{_LETTERS}]+(?!\S)|\S+)"
 #: With white space kept, a run of it belongs to what follows, and a single line feed stands alone.
 _KEEPING = re.compile(rf"\n(?=\S)|\s*{_PIECE}|\s+")
 _DROPPING = re.compile(_PIECE)
-_UNSURE = re.compile("[\x1c-\x1f]")
+_UNSURE = "\x1c\x1d\x1e\x1f"
 #: Longer cuttings are encoded each time, so what a worker remembers is bounded in bytes.
 LONGEST = 256
 
@@ -44,7 +44,7 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in found]
 
     def _sure(self, text: str) -> bool:
-        return not (_UNSURE.search(text) or ("<" in text and any(s in text for s in self.special)))
+        return not (any(c in text for c in _UNSURE) or ("<" in text and any(s in text for s in self.special)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. Equal texts are encoded once."""

@@ -53,14 +53,14 @@ def build(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> byt
     pack = zstandard.ZstdCompressor(level=1)
     framed, directory = [], []
     for p in range(planes - 1, -1, -1):
-        ones = (x >> p) & 1 != 0
+        ones = (x & x.dtype.type(1 << p)).astype(bool)
         bits = np.packbits(ones).tobytes()
         for at in range(0, len(bits), BLOCK // 8):
             part = bits[at : at + BLOCK // 8]
             framed.append(pack.compress(part))
             directory += [len(framed[-1]), int(np.bitwise_count(np.frombuffer(part, "u1")).sum(dtype="i8"))]
         if p:
-            x = np.concatenate([x[~ones], x[ones]])
+            x = x.take(np.concatenate([np.flatnonzero(~ones), np.flatnonzero(ones)]))
     return b"".join([
         MAGIC, struct.pack("<3I", len(doc_ids), len(ids), planes),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), bytes(d is None for d in doc_ids),
@@ -175,10 +175,10 @@ class Shard:
             keys = range(plane * self.blocks, (plane + 1) * self.blocks)
             bits = b"".join(self.unpack(self.image[self.edges[k] : self.edges[k + 1]]) for k in keys)
             ones = np.unpackbits(np.frombuffer(bits, "u1"), count=self.n).view(bool)
-            zeros = self.n - int(np.count_nonzero(ones))
+            low, high = np.flatnonzero(~ones), np.flatnonzero(ones)
             above = np.empty_like(x)
-            above[~ones] = x[:zeros]
-            above[ones] = x[zeros:] | x.dtype.type(1 << p)
+            above[low] = x[: len(low)]
+            above[high] = x[len(low) :] | x.dtype.type(1 << p)
             x = above
         return x.astype("<u4")
 

@@ -253,9 +253,10 @@ def _pair_names(state: DataFrame, parts: int, least: int) -> DataFrame:
                 _, _, left, right, n = State.read(row).pairs()
                 part = _part(left, right, parts)
                 order = np.argsort(part, kind="stable")
-                edges = np.searchsorted(part[order], np.arange(parts + 1))
-                for p in np.flatnonzero(np.diff(edges)).tolist():
-                    some = order[edges[p] : edges[p + 1]]
+                part = part[order]
+                edges = np.flatnonzero(np.diff(part, prepend=-1, append=parts)).tolist()
+                for a, b in zip(edges, edges[1:], strict=False):
+                    p, some = int(part[a]), order[a:b]
                     packed = [_pack(x[some].astype("<i8")) for x in (left, right, n)] + [_pack(some.astype("<i4"))]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([x]) for x in (p, row["block"], *packed)], names=["part", "block", "l", "r", "n", "code"]

@@ -10,7 +10,9 @@ all documents, says how many bits of the entity's own information the term carri
 with N, n(e), n(t) and n(t near e) numbers of documents, without smoothing or a least number of documents. A term with
 PMI >= ``DISCLOSE`` * IC is a span of its own where it stands near the entity; so for an entity of one document any term
 in up to N ** (1 - DISCLOSE) documents is one. An entity of all documents has no information to disclose. Sanitising
-replaces the four kinds by placeholders, generalises such terms, and removes those over ``REMOVE`` * IC.
+replaces the four kinds by placeholders, removes terms over ``REMOVE`` * IC and generalises the others to a class of words of like length (``CLASSES``). A class
+that n(c) documents get carries log2(N / n(c)) bits of any entity at most; where that is no less than ``DISCLOSE`` * IC, as
+the class is too rare, the term is removed as well. So nothing that stands in a term's place discloses what the term did.
 
 Terms are letter sequences of at least three letters, lower-cased. Only documents with an entity send rows on;
 term counts are summed per worker before they are shuffled. A hot entity meets as sums.
@@ -23,11 +25,12 @@ and its entities; an empty table gives no rows; ``find`` drops other columns, ``
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.common import few, passing, settle, table, text_of, unused
@@ -36,6 +39,8 @@ KINDS = ("email", "ip", "card", "phone", "term")
 NEAR = 8
 DISCLOSE = 0.8
 REMOVE = 0.95
+#: What terms of up to so many letters become.
+CLASSES = ((5, "[SHORT WORD]"), (8, "[WORD]"), (None, "[LONG WORD]"))
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -177,7 +182,8 @@ def _count_terms(most: int = 200_000):
 
 
 def find(docs: DataFrame, near: int = NEAR, disclose: float = DISCLOSE, text_col: str = "text") -> DataFrame:
-    """``doc_id, digest, spans, terms`` per row: personal data by form, and the terms that reveal it, with their share of its information."""
+    """``doc_id, digest, spans, terms`` per row: personal data by form, and the terms that reveal it, with their share of its information
+    and that information in bits (of several entities the greatest share and the fewest bits)."""
     with passing() as keep:
         named = _named(docs, text_col)
         found = keep(named.mapInArrow(_find(near), FOUND))
@@ -192,29 +198,51 @@ def find(docs: DataFrame, near: int = NEAR, disclose: float = DISCLOSE, text_col
         known = joint.join(entities, "entity").join(terms, "term").join(F.broadcast(total)).filter("n_entity < n_all")
         pmi = F.log2(F.col("n_all") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
         share = pmi / F.log2(F.col("n_all") / F.col("n_entity"))
-        telling = settle(known.select("entity", "term", share.alias("share")).filter(F.col("share") >= disclose))
+        bits = F.log2(F.col("n_all") / F.col("n_entity"))
+        telling = settle(known.select("entity", "term", share.alias("share"), bits.alias("bits")).filter(F.col("share") >= disclose))
         # A text's terms are the same in all its copies, so they go by its digest.
         places = found.select("digest", F.explode("terms").alias("x")).select("digest", "x.*").join(telling, ["entity", "term"])
         shown = keep(
-            places.groupBy("digest", "start", "end").agg(F.max("share").alias("share"))
-            .groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share"))).alias("told"))
+            places.groupBy("digest", "start", "end").agg(F.max("share").alias("share"), F.min("bits").alias("bits"))
+            .groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "end", "share", "bits"))).alias("told"))
             .select(F.col("digest").alias("_digest"), "told")
         )
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,share:double>>")
+    empty = F.array().cast("array<struct<start:bigint,end:bigint,share:double,bits:double>>")
     told = found.join(shown, F.col("digest") == F.col("_digest"), "left")
     return told.select("doc_id", "digest", "spans", F.coalesce("told", empty).alias("terms"))
 
 
-def sanitise(docs: DataFrame, remove: float = REMOVE, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with personal data replaced by placeholders such as ``[EMAIL]``, revealing terms by ``[TERM]`` or nothing."""
+def _class(size: Column) -> Column:
+    """The number of the class of terms of ``size`` letters."""
+    number = F.lit(len(CLASSES) - 1)
+    for i in range(len(CLASSES) - 2, -1, -1):
+        number = F.when(size <= CLASSES[i][0], i).otherwise(number)
+    return number
+
+
+def sanitise(docs: DataFrame, remove: float = REMOVE, disclose: float = DISCLOSE, text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with personal data replaced by placeholders such as ``[EMAIL]``, revealing terms by their class or nothing."""
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    cut = F.concat(
-        F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(marks, s["kind"] + 1).alias("mark"))),
-        F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["share"] >= remove, "").otherwise("[TERM]").alias("mark"))),
-    )
     with passing() as keep:
-        told = find(docs, text_col=text_col, **options).filter((F.size("spans") > 0) | (F.size("terms") > 0))
-        told = keep(told.dropDuplicates(["digest"]).select("digest", F.sort_array(cut).alias("cut")))
+        found = find(docs, disclose=disclose, text_col=text_col, **options)
+        told = settle(found.filter((F.size("spans") > 0) | (F.size("terms") > 0)).dropDuplicates(["digest"]).select("digest", "spans", "terms"))
+        n_all = docs.count()
+        # A row for each class; texts with copies count once, which makes a class seem rarer than it is.
+        general = told.select("digest", F.explode("terms").alias("t")).filter(F.col("t.share") < remove)
+        kinds = general.select("digest", _class(F.col("t.end") - F.col("t.start")).alias("class")).distinct()
+        held = {r["class"]: math.log2(n_all / r["n"]) for r in kinds.groupBy("class").agg(F.count("*").alias("n")).collect()}
+
+        def mark(t: Column) -> Column:
+            number, out = _class(t["end"] - t["start"]), F.lit("")
+            for i, bits in held.items():
+                out = F.when((number == i) & (F.lit(bits) < disclose * t["bits"]), CLASSES[i][1]).otherwise(out)
+            return F.when(t["share"] >= remove, "").otherwise(out)
+
+        cut = F.concat(
+            F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(marks, s["kind"] + 1).alias("mark"))),
+            F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), mark(t).alias("mark"))),
+        )
+        told = keep(told.select("digest", F.sort_array(cut).alias("cut")))
     digest, cuts = unused(docs, "digest", "cut")
     keyed = docs.withColumn(digest, F.md5(text_of(docs, text_col).cast("binary")))
     joined = keyed.join(few(told).select(F.col("digest").alias(f"{digest}_told"), F.col("cut").alias(cuts)), F.col(digest) == F.col(f"{digest}_told"), "left")

@@ -1,21 +1,16 @@
 """As-of join: to each row the nearest row of another table before or after it in time.
 
-Only distinct (key, time) pairs are matched, and rows with equal key and time share the match; so rows of one instant, however
-many, are folded before anything is shuffled. A key's time is parted into blocks. Within a
-block a window carries the last match along; from block to block only its last (or first) match is carried, one row for each block.
-So a key with a third of all rows is dealt to as many tasks as it has blocks. The left table's own columns move once,
-when they meet their matches.
+Rows of the right table with one key and time are folded to one, and each row of the left table moves once, to the rows of its key (``carry``). A key
+with a noticeable share of all rows is dealt to as many tasks as it has blocks of time, and from block to block only its last (or first) match is carried.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.functions.order import free, fresh, position
-
-#: Rows that a block of one key would hold if all rows were of that key.
-BLOCK_ROWS = 1_000_000
+from heddle.operators.carry import BLOCK_ROWS, carried, spread
 
 
 def block_width(frames: list[tuple[DataFrame, str]], rows: int = BLOCK_ROWS) -> float:
@@ -28,9 +23,7 @@ def block_width(frames: list[tuple[DataFrame, str]], rows: int = BLOCK_ROWS) ->
         one = df.select(position(df, column).alias("at"))
         at = one if at is None else at.unionAll(one)
     n, ends = at.agg(F.count("at"), F.percentile_approx("at", [0.01, 0.99], 1000)).first()
-    if not n or ends[1] <= ends[0]:
-        return 1.0
-    return max(1e-9, (ends[1] - ends[0]) / max(1.0, 0.98 * n / rows))
+    return spread(n, *(ends or (None, None)), rows)
 
 
 def asof_join(
@@ -52,45 +45,15 @@ def asof_join(
     if {c.lower() for c in left.columns} & {c.lower() for c in right.columns}:
         raise ValueError("the tables must not share column names")
     p, left, right = free(left, right), fresh(left), fresh(right)
-    key, at, own, match, block = [f"{p}k{i}" for i in range(len(by))], f"{p}at", f"{p}own", f"{p}match", f"{p}block"
-    width = block_width([(left, left_at), (right, right_at)]) if width is None else width
-    forward = direction == "forward"
-
-    def slim(df: DataFrame, keys, time: str, *more: Column) -> DataFrame:
-        named = [F.col(c).alias(k) for c, k in zip(keys, key, strict=True)]
-        place = F.floor(position(df, time) / F.lit(width)).cast("long").alias(block)
-        rows = df.select(*named, F.col(time).alias(at), place, *more)
-        return rows.dropna(subset=[*key, at])
-
-    asked = slim(left, by.keys(), left_at).distinct().withColumn(own, F.lit(True))
+    position(left, left_at), position(right, right_at)
+    match, forward = f"{p}match", direction == "forward"
     first = [c for c in ties] + [c for c in right.columns if c not in ties]
-    whole = F.struct(*first).alias(match)
-    given = slim(right, by.values(), right_at, whole).groupBy(*key, at, block).agg(F.max(match).alias(match))
-    rows = asked.unionByName(given.withColumn(own, F.lit(False)), allowMissingColumns=True)
-
-    # At one time, the row that is asked for comes after the one that is given, or before it if that one may not match.
-    turn = F.col(own) if not strict else ~F.col(own)
-    order = [F.desc(at), turn] if forward else [F.asc(at), turn]
-    seen = Window.partitionBy(*key, block).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    inside = rows.withColumn(match, F.last(match, ignorenulls=True).over(seen)).filter(own).drop(own)
-
-    # What blocks before hand on: one row for each block of either side.
-    edge = F.max_by(match, at) if not forward else F.min_by(match, at)
-    blocks = given.groupBy(*key, block).agg(edge.alias(f"{p}last"))
-    held = asked.select(*key, block).distinct().join(blocks, [*key, block], "full")
-    away = F.col(block).desc() if forward else F.col(block).asc()
-    before = Window.partitionBy(*key).orderBy(away).rowsBetween(Window.unboundedPreceding, -1)
-    carried = held.select(*key, block, F.last(f"{p}last", ignorenulls=True).over(before).alias(f"{p}carried"))
-    carried = carried.filter(F.col(f"{p}carried").isNotNull())
-    found = inside.join(carried, [*key, block], "left") if key else inside.join(carried, block, "left")
-    found = found.select(*key, at, F.coalesce(match, f"{p}carried").alias(match)).filter(F.col(match).isNotNull())
+    given = right.groupBy(*by.values(), right_at).agg(F.max(F.struct(*first)).alias(match))
+    found = carried(left, given, by, left_at, right_at, match, match, "last", forward, strict, width, inner=how == "inner")
     if within is not None:
         other = F.col(match)[right_at]
-        near = other <= F.col(at) + within if forward else other >= F.col(at) - within
-        found = found.filter(near)
-
-    same = left[left_at] == found[at]
-    for name, k in zip(by, key, strict=True):
-        same = same & (left[name] == found[k])
-    joined = left.join(found, same, how)
-    return joined.select(*[left[c] for c in left.columns], *[found[match][c].alias(c) for c in right.columns])
+        near = other <= F.col(left_at) + within if forward else other >= F.col(left_at) - within
+        found = found.withColumn(match, F.when(near, F.col(match)))
+    if how == "inner":
+        found = found.filter(F.col(match).isNotNull())
+    return found.select(*left.columns, *[F.col(match)[c].alias(c) for c in right.columns])

@@ -25,6 +25,22 @@ def position(df: DataFrame, column: str) -> Column:
     raise TypeError(f"{column} is neither a time nor a number")
 
 
+def cell(df: DataFrame, column: str) -> Column:
+    """``column`` as a whole number that tells all of its values apart: microseconds of a time, days of a date, a whole number itself."""
+    kind, value = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("long")
+    if isinstance(kind, T.TimestampNTZType):
+        day = F.unix_date(value.cast("date")).cast("long") * F.lit(86_400)
+        second = F.extract(F.lit("SECOND"), value) * F.lit(1_000_000)
+        return (day + F.hour(value) * 3600 + F.minute(value) * 60) * F.lit(1_000_000) + second.cast("long")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value)
+    if isinstance(kind, T.IntegralType):
+        return value.cast("long")
+    raise TypeError(f"{column} is neither a time nor a whole number")
+
+
 def free(*frames: DataFrame, prefix: str = "_h") -> str:
     """A prefix that no column of the frames starts with, whatever the case."""
     taken = [c.lower() for df in frames for c in df.columns]

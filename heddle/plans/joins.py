@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.operators.asof import asof_join
-from heddle.operators.ranges import overlapping, points_in_intervals
+from heddle.operators.ranges import holding, overlapping, points_in_intervals
 from heddle.sources import table
 
 #: Days that an order stays open, by its priority.
@@ -89,8 +89,8 @@ def range_error_bursts(spark, sf_dir: str) -> DataFrame:
     bought = events.filter("event_type = 'purchase'").select("event_id", "ts")
     minutes = F.make_dt_interval(mins=F.floor("value").cast("int"))
     errors = events.filter("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("ts").alias("since"), (F.col("ts") + minutes).alias("till"))
-    found = points_in_intervals(bought, errors, {}, "ts", "since", "till", how="left")
-    return found.groupBy("event_id").agg(F.count("error_id").alias("n"), F.min("error_id").alias("first_error"))
+    found = holding(bought, errors, {}, "ts", "since", "till", "error_id", ("errors", "least", "greatest"))
+    return found.groupBy("event_id").agg(F.sum("errors").alias("n"), F.min("least").alias("first_error"))
 
 
 def range_sessions(spark, sf_dir: str) -> DataFrame:

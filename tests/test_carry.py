@@ -1,9 +1,12 @@
 """Tables that are large enough for hot keys and crowded instants to be noticed, against plain joins; and what such joins may move."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from heddle.operators import asof
+from heddle.operators import asof, ranges
+from heddle.plans import joins
 
 
 def _same(one, other):
@@ -38,3 +41,51 @@ def test_asof_moves_a_row_once(spark):
     plan = asof.asof_join(left, right, {"k": "rk"}, "t", "rt", ties=("v",))._jdf.queryExecution()
     assert plan.optimizedPlan().toString().count("Range (") == 2
     assert "Join" not in plan.optimizedPlan().toString()
+
+
+def _spans(rnd, times):
+    spans = []
+    for j in range(60):
+        s = rnd.choice([None, *times])
+        e = None if s is None or rnd.random() < 0.1 else s + rnd.choice([-1, 0, 1, 2, 3, 7, 30, 200, 5_000])
+        spans.append((rnd.choice([1, 2, None]), s, e, rnd.choice([None, *range(20)])))
+    return spans + spans[:3]
+
+
+@pytest.mark.parametrize("closed", ranges.CLOSED)
+@pytest.mark.parametrize(("keyed", "block_rows"), [(True, 5), (False, 5), (False, 1_000_000)])
+def test_holding_matches_a_loop(spark, closed, keyed, block_rows):
+    rnd = random.Random(11)
+    times = range(-90, 90)
+    points = [(rnd.choice([1, 2, None]), rnd.choice([None, *times]), i) for i in range(80)]
+    spans = _spans(rnd, times)
+    want = []
+    for k, t, i in points:
+        low = lambda s: s <= t if closed in ("left", "both") else s < t  # noqa: B023, E731
+        high = lambda e: t <= e if closed in ("right", "both") else t < e  # noqa: B023, E731
+        met = [v for key, s, e, v in spans if None not in (t, s, e, v) and (not keyed or k is not None and k == key) and s <= e and low(s) and high(e)]
+        want.append((k, t, i, len(met), min(met, default=None), max(met, default=None)))
+    a, b = spark.createDataFrame(points, "k int, t int, i int"), spark.createDataFrame(spans, "sk int, s int, e int, v int")
+    by = {"k": "sk"} if keyed else {}
+    found = ranges.holding(a, b, by, "t", "s", "e", "v", ("n", "least", "greatest"), closed, block_rows)
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, want))
+
+
+def test_holding_tells_microseconds(spark):
+    rows = [("2024-01-01 00:00:00.000001", "2024-01-01 00:00:00.000003", "2024-01-01 00:00:00.000002"), ("1969-12-31 23:59:59.5", "1970-01-01 00:00:00.25", "1970-01-01 00:00:00.25")]
+    for kind in ("timestamp", "timestamp_ntz"):
+        df = spark.createDataFrame(rows, "s string, e string, t string").select(*[F.col(c).cast(kind) for c in "set"], F.lit(1).alias("v"))
+        found = ranges.holding(df.select("t"), df.select("s", "e", "v"), {}, "t", "s", "e", "v", ("n", "a", "b"))
+        assert sorted(r.n for r in found.collect()) == [0, 1]
+
+
+def test_error_bursts_make_no_pairs(spark, tmp_path):
+    """3,000 purchases within the minutes of 3,000 errors: nine million pairs, of which none is to be a row."""
+    at = (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=F.lit(1))).cast("timestamp_ntz")
+    kind = F.when(F.col("id") % 2 == 0, "error").otherwise("purchase")
+    rows = spark.range(6_000).select(F.col("id").alias("event_id"), at.alias("ts"), F.lit(1).cast("long").alias("user_id"), kind.alias("event_type"), F.lit(5.0).alias("value"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    found = joins.range_error_bursts(spark, str(tmp_path))
+    assert found.filter("n = 3000 AND first_error = 0").count() == 3_000
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "ts#" not in "".join(line for line in plan.splitlines() if " Join " in line and (">=" in line or "<=" in line))

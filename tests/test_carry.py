@@ -89,3 +89,17 @@ def test_error_bursts_make_no_pairs(spark, tmp_path):
     assert found.filter("n = 3000 AND first_error = 0").count() == 3_000
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "ts#" not in "".join(line for line in plan.splitlines() if " Join " in line and (">=" in line or "<=" in line))
+
+
+@pytest.mark.parametrize("closed", ranges.CLOSED)
+def test_semi_and_anti_make_no_pairs(spark, closed):
+    """Hot keys and instants, lost rows, ends of each kind; a key of 20,000 points in each of 300 intervals makes no rows but the points."""
+    points = _large(spark)
+    key = F.when(F.col("id") % 10 == 0, -1).otherwise(F.col("id") % 500)
+    spans = spark.range(3_000).select(key.alias("sk"), (F.col("id") * 11 % 9_000).alias("s"), (F.col("id") * 11 % 9_000 + F.col("id") % 40).alias("e"))
+    spans = spans.unionAll(spark.createDataFrame([(-1, 4_321, 4_321), (-1, 100, 50), (None, 1, 9)], "sk long, s long, e long"))
+    met = (F.col("k") == F.col("sk")) & (F.col("s") <= F.col("e")) & ranges._inside(F.col("t"), F.col("s"), F.col("e"), closed)
+    for how in ("semi", "anti"):
+        found = ranges.points_in_intervals(points, spans, {"k": "sk"}, "t", "s", "e", closed, how)
+        _same(found, points.join(spans, met, f"left_{how}"))
+        assert "Generate explode" not in found._jdf.queryExecution().optimizedPlan().toString()  # no copies to meet in bins

@@ -60,6 +60,12 @@ def _bin(place: Column, level: Column, width: float) -> Column:
     return F.when(level < LEVELS, at).otherwise(F.when(place.isNotNull(), F.lit(0)))
 
 
+def _met(looks: DataFrame, placed: DataFrame, by: dict[str, str], meet: Column, points: DataFrame, intervals: DataFrame) -> DataFrame:
+    for name, other in by.items():
+        meet = meet & (looks[name] == placed[other])
+    return looks.join(placed, meet).select(*[looks[c] for c in points.columns], *[placed[c] for c in intervals.columns])
+
+
 def points_in_intervals(
     points: DataFrame, intervals: DataFrame, by: dict[str, str], at: str, start: str, end: str, closed: str = "left",
     how: str = "inner", width: float | None = None,
@@ -95,15 +101,13 @@ def points_in_intervals(
         full = sound.groupBy(*keys).count().filter(F.col("count") > FEW).select(*[F.col(k).alias(f"{p}{i}") for i, k in enumerate(keys)], F.lit(True).alias(dense))
         n = full.limit(DENSE + 1).count()
         if n == 0:
-            binned = F.lit(False)
-        elif n <= DENSE:
+            return _met(known, sound, by, _inside(known[at], sound[start], sound[end], closed), points, intervals)
+        if n <= DENSE:
             binned = F.coalesce(F.col(dense), F.lit(False))
 
             def marked(df: DataFrame, names) -> DataFrame:
-                same = F.lit(True)
-                for i, k in enumerate(names):
-                    same = same & (df[k] == full[f"{p}{i}"])
-                return df.join(F.broadcast(full), same, "left").select(*df.columns, dense)
+                told = F.broadcast(full.withColumnsRenamed({f"{p}{i}": k for i, k in enumerate(names)}))
+                return df.join(told, list(names), "left").select(*df.columns, dense)
 
             sound, known = marked(sound, keys), marked(known, by)
     first, last = position(intervals, start), position(intervals, end)
@@ -115,11 +119,9 @@ def points_in_intervals(
     levels = F.when(binned, F.lit(present).cast("array<int>")).otherwise(F.array(none))
     looks = known.withColumn(level, F.explode(levels))
     looks = looks.withColumn(bin_, F.when(F.col(level) >= 0, _bin(position(points, at), F.col(level), width)).otherwise(F.lit(0).cast("long")))
-    meet = (looks[level] == placed[level]) & (looks[bin_] == placed[bin_])
-    for name, other in by.items():
-        meet = meet & (looks[name] == placed[other])
-    meet = meet & _inside(looks[at], placed[start], placed[end], closed)
-    return looks.join(placed, meet).select(*[looks[c] for c in points.columns], *[placed[c] for c in intervals.columns])
+    looks, placed = fresh(looks), fresh(placed)
+    meet = (looks[level] == placed[level]) & (looks[bin_] == placed[bin_]) & _inside(looks[at], placed[start], placed[end], closed)
+    return _met(looks, placed, by, meet, points, intervals)
 
 
 def _stabbed(points: DataFrame, parts: DataFrame, keys: list[str], p: str, cap: int) -> DataFrame:

@@ -103,3 +103,18 @@ def test_semi_and_anti_make_no_pairs(spark, closed):
         found = ranges.points_in_intervals(points, spans, {"k": "sk"}, "t", "s", "e", closed, how)
         _same(found, points.join(spans, met, f"left_{how}"))
         assert "Generate explode" not in found._jdf.queryExecution().optimizedPlan().toString()  # no copies to meet in bins
+
+
+@pytest.mark.parametrize("dense", [0, 1, 3])
+def test_keys_with_few_intervals_have_no_bins(spark, dense, monkeypatch):
+    """Points are copied to levels only where a key has many intervals, whether such keys are told by a broadcast or are too many for it."""
+    monkeypatch.setattr(ranges, "DENSE", 2)
+    points = spark.range(4_000).select(F.when(F.col("id") % 97 == 0, F.lit(None)).otherwise(F.col("id") % 50).alias("k"), (F.col("id") * 7 % 1_000).alias("t"), F.col("id").alias("i"))
+    few = spark.range(200).select((F.col("id") % 50).alias("sk"), (F.col("id") * 5).alias("s"), (F.col("id") * 5 + F.pow(2, F.col("id") % 9)).cast("long").alias("e"), F.col("id").alias("j"))
+    many = spark.range(100 * dense).select((F.col("id") % max(1, dense)).alias("sk"), (F.col("id") * 3).alias("s"), (F.col("id") * 3 + F.pow(2, F.col("id") % 7)).cast("long").alias("e"), (F.col("id") + 1_000).alias("j"))
+    spans = few.unionAll(many)
+    found = ranges.points_in_intervals(points, spans, {"k": "sk"}, "t", "s", "e")
+    _same(found, points.join(spans, (F.col("k") == F.col("sk")) & (F.col("t") >= F.col("s")) & (F.col("t") < F.col("e"))))
+    if not dense:
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate explode" not in plan

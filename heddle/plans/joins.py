@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.functions.order import cell
 from heddle.operators.asof import asof_join
+from heddle.operators.carry import carried
 from heddle.operators.ranges import holding, overlapping, points_in_intervals
 from heddle.sources import table
 
@@ -101,9 +103,17 @@ def range_sessions(spark, sf_dir: str) -> DataFrame:
     marked = events.select("user_id", "ts", fresh.cast("int").alias("fresh"))
     numbered = marked.withColumn("k", F.sum("fresh").over(mine.rowsBetween(Window.unboundedPreceding, 0)))
     sessions = numbered.groupBy("user_id", "k").agg(F.min("ts").alias("since"), F.max("ts").alias("till")).drop("k")
-    errors = events.filter("event_type = 'error'").select(F.col("user_id").alias("of"), F.col("ts").alias("at"))
-    found = points_in_intervals(errors, sessions, {}, "at", "since", "till", closed="both").filter("of <> user_id")
-    return found.groupBy("user_id", "since").agg(F.count("*").alias("n"))
+    # Errors up to a session's end less those before its start, of all users (group 0) and of its own (group 1); no pairs are made.
+    sound = sessions.dropna().select("user_id", "since", cell(sessions, "since").alias("first"), cell(sessions, "till").alias("last"))
+    ends = F.array(*[F.struct(at.alias("upto"), F.lit(sign).alias("sign")) for at, sign in ((F.col("last"), 1), (F.col("first") - 1, -1))])
+    whose = F.array(*[F.struct(F.lit(g).alias("of_group"), who.alias("who")) for g, who in ((0, F.lit(0).cast("long")), (1, F.col("user_id").cast("long")))])
+    asked = sound.select("user_id", "since", F.explode(ends).alias("x"), whose.alias("whose")).select("user_id", "since", "x.*", F.explode("whose").alias("y"))
+    asked = asked.select("user_id", "since", "upto", "sign", "y.*")
+    errors = events.filter("event_type = 'error'").dropna(subset=["user_id", "ts"]).select(cell(events, "ts").alias("at"), F.explode(whose).alias("y"))
+    told = errors.groupBy(F.col("y.of_group").alias("group"), F.col("y.who").alias("of"), "at").agg(F.count("*").alias("errors"))
+    found = carried(asked, told, {"of_group": "group", "who": "of"}, "upto", "at", "errors", "upto_now", "sum")
+    counted = F.coalesce("upto_now", F.lit(0)) * F.col("sign") * F.when(F.col("of_group") == 0, 1).otherwise(-1)
+    return found.groupBy("user_id", "since").agg(F.sum(counted).alias("n")).filter("n > 0")
 
 
 QUERIES = {

@@ -118,3 +118,16 @@ def test_keys_with_few_intervals_have_no_bins(spark, dense, monkeypatch):
     if not dense:
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "Generate explode" not in plan
+
+
+def test_session_errors_make_no_pairs(spark, tmp_path):
+    """300 users with a session in the same ten minutes, and an error of each in it: 300 times 299 pairs, of which none is to be a row."""
+    i, minute = F.col("id") % 300, F.floor(F.col("id") / 300) * 5
+    at = (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=minute.cast("int"))).cast("timestamp_ntz")
+    rows = spark.range(900).select(F.col("id").alias("event_id"), at.alias("ts"), i.alias("user_id"), F.when(minute == 5, "error").otherwise("view").alias("event_type"), F.lit(1.0).alias("value"))
+    odd = rows.filter("event_type = 'error'").limit(2).withColumn("user_id", F.lit(None).cast("long"))  # of no user: counted nowhere
+    rows.unionAll(odd).write.parquet(str(tmp_path / "events.parquet"))
+    found = joins.range_sessions(spark, str(tmp_path))
+    assert found.filter("n = 299").count() == found.count() == 300
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if " Join " in x and ("till" in x or "since" in x)]

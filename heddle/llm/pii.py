@@ -191,10 +191,8 @@ def find(docs: DataFrame, near: int = NEAR, disclose: float = DISCLOSE, text_col
         pairs = found.select(F.explode(F.array_distinct(F.transform("terms", lambda x: F.struct(x["entity"], x["term"])))).alias("x"))
         joint = settle(pairs.groupBy("x.entity", "x.term").agg(F.count("*").alias("n_both")))
         entities = found.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-        terms = named.mapInArrow(_count_terms(), "term string, n long")
-        wanted = settle(joint.select("term").distinct())
-        # Terms beside no entity go before they are shuffled, as long as the wanted ones are few.
-        terms = terms.join(few(wanted), "term").groupBy("term").agg(F.sum("n").alias("n_term"))
+        # Summed before any join: a join with the terms beside an entity gives a row for each of them and each task, and both grow with the input.
+        terms = named.mapInArrow(_count_terms(), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
         known = joint.join(entities, "entity").join(terms, "term").join(F.broadcast(total)).filter("n_entity < n_all")
         pmi = F.log2(F.col("n_all") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
         share = pmi / F.log2(F.col("n_all") / F.col("n_entity"))

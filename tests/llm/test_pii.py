@@ -76,3 +76,19 @@ def test_classes_disclose_less_than_the_terms(spark):
     assert {safe[i] for i in range(62, 202)} == {texts[-1]}
     n, bits = len(texts), math.log2(len(texts))
     assert math.log2(n / 60) < pii.DISCLOSE * bits <= math.log2(n / 2)  # why one class stays and the other goes
+
+
+def test_terms_are_summed_before_they_are_joined(spark, monkeypatch):
+    plans = []
+    settle = pii.settle
+
+    def seen(df):
+        plans.append((df.columns, df._jdf.queryExecution().optimizedPlan().toString()))
+        return settle(df)
+
+    monkeypatch.setattr(pii, "settle", seen)
+    docs = spark.createDataFrame([(i, f"rare{chr(97 + i)}xx word a{i}@b.org common") for i in range(6)], "doc_id long, text string")
+    assert pii.find(docs).count() == 6
+    (plan,) = [p for columns, p in plans if columns == ["entity", "term", "share", "bits"]]
+    # Joined to entities, terms and the number of documents, and nothing else.
+    assert plan.count("Join ") == 3

@@ -3,7 +3,7 @@
 Byte-pair merging never crosses the pieces that the vocabulary's own pre-tokenizer cuts, so
 a text's ids are those of its pieces in a row. Texts are cut at places where that
 pre-tokenizer always cuts as well, each distinct cutting is encoded by the library once per Python
-worker, and the ids are joined. Texts for which such places are not certain (special
+worker, and the ids are joined. A cutting of letters alone, which is one piece, goes straight to the library's merging. Texts for which such places are not certain (special
 tokens written out, separators that regex dialects treat differently) are encoded whole.
 """
 
@@ -11,18 +11,27 @@ from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, compress, count
+from operator import not_
 
 #: Letters after which a cut is certain if an ASCII character that is no letter follows.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _NEXT = r"(?![^\x00-\x40\x5b-\x60\x7b-\x7f])"
-_PIECE = rf"(?:[{_LETTERS}]+{_NEXT}|[^\s{_LETTERS}]+[{_LETTERS}]+{_NEXT}|[^\s{_LETTERS}]+(?!\S)|\S+)"
+_PIECE = rf"(?:[{_LETTERS}]++{_NEXT}|[^\s{_LETTERS}]+[{_LETTERS}]+{_NEXT}|[^\s{_LETTERS}]+(?!\S)|\S+)"
+#: The commonest case first: a word, with the space before it if there is one.
+_WORD = rf" ?[{_LETTERS}]++{_NEXT}"
 #: With white space kept, a run of it belongs to what follows, and a single line feed stands alone.
-_KEEPING = re.compile(rf"\n(?=\S)|\s*{_PIECE}|\s+")
-_DROPPING = re.compile(_PIECE)
+_KEEPING = re.compile(rf"{_WORD}|\n(?=\S)|\s*{_PIECE}|\s+")
+_DROPPING = re.compile(rf"{_WORD}|{_PIECE}")
+#: Cuttings that are one piece for the vocabularies' pre-tokenizers.
+_PLAIN = re.compile(rf" ?[{_LETTERS}]+")
 _UNSURE = "\x1c\x1d\x1e\x1f"
 #: Longer cuttings are encoded each time, so what a worker remembers is bounded in bytes.
 LONGEST = 256
+#: Characters of texts that are cut together.
+TOGETHER = 1 << 20
 
 
 class Encoder:
@@ -35,17 +44,41 @@ class Encoder:
         self.whole = Tokenizer.from_file(public_tokenizers.path(name))
         self.cut = (_DROPPING if self.whole.normalizer is not None else _KEEPING).findall
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        #: What the library's normalizer and pre-tokenizer make of each character of a plain cutting.
+        self.shown = {ord(c): self._show(c) for c in map(chr, range(256)) if _PLAIN.fullmatch(f"{c}a")}
+        self.merge = self.whole.model.tokenize
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.limit = limit
 
+    def _show(self, text: str) -> str:
+        plain = text if self.whole.normalizer is None else self.whole.normalizer.normalize_str(text)
+        return "".join(part for part, _ in self.whole.pre_tokenizer.pre_tokenize_str(plain))
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.whole.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", e.ids).tobytes() for e in found]
 
+    def _merge(self, words: list[str]) -> list[bytes]:
+        """Ids of plain cuttings, straight from the library's model."""
+        merge = self.merge
+        shown = "\n".join(words).translate(self.shown).split("\n") if words else []
+        return [array("I", [t.id for t in merge(w)]).tobytes() for w in shown]
+
     def _sure(self, text: str) -> bool:
         return not (any(c in text for c in _UNSURE) or ("<" in text and any(s in text for s in self.special)))
 
+    def _together(self, texts: list[str]) -> Iterator[list[str]]:
+        part, size = [], 0
+        for text in texts:
+            part.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                yield part
+                part, size = [], 0
+        if part:
+            yield part
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers. Equal texts are encoded once."""
         different = list(dict.fromkeys(texts))
@@ -53,27 +86,38 @@ class Encoder:
             known = dict(zip(different, self.encode(different), strict=True))
             return [known[t] for t in texts]
         out: list[bytes] = []
-        for at in range(0, len(texts), 64):
-            part = texts[at : at + 64]
-            cut = [self.cut(t) if self._sure(t) else None for t in part]
-            words = set().union(*filter(None, cut))
-            missing = words.difference(self.known)
-            if len(self.known) + len(missing) > self.limit:
+        for part in self._together(texts):
+            held, gaps = [], []
+            for t in part:
+                if self._sure(t):
+                    ws = self.cut(t)
+                    ids = list(map(self.known.get, ws))
+                    at = list(compress(count(), map(not_, ids)))
+                    gaps.append((at, [ws[i] for i in at]))
+                else:
+                    ids = self._encode([t])
+                    gaps.append(((), ()))
+                held.append(ids)
+            found = self._find(set(chain.from_iterable(ws for _, ws in gaps)))
+            for ids, (at, ws) in zip(held, gaps, strict=True):
+                for i, w in zip(at, ws, strict=True):
+                    ids[i] = found[w]
+                out.append(b"".join(ids))
+            if len(self.known) + len(found) > self.limit:
                 self.before, self.known = self.known, {}
-                missing = words
-            known = self.known
-            known.update((w, self.before[w]) for w in missing if w in self.before)
-            new = [w for w in missing if w not in known]
-            known.update(zip(new, self._encode(new), strict=True))
-            long = [w for w in new if len(w) > LONGEST]
-            out += [
-                self._encode([t])[0] if ws is None else b"".join(map(known.__getitem__, ws))
-                for t, ws in zip(part, cut, strict=True)
-            ]
-            for w in long:
-                del known[w]
+            self.known.update(x for x in found.items() if len(x[0]) <= LONGEST)
         return out
 
+    def _find(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of cuttings that are not known."""
+        found = {w: self.before[w] for w in words if w in self.before}
+        plain, other = [], []
+        for w in words.difference(found):
+            (plain if _PLAIN.fullmatch(w) else other).append(w)
+        found.update(zip(plain, self._merge(plain), strict=True))
+        found.update(zip(other, self._encode(other), strict=True))
+        return found
+
 
 @lru_cache(maxsize=4)
 def encoder(name: str) -> Encoder:

@@ -233,7 +233,8 @@ def placed(shards: DataFrame) -> DataFrame:
     inside = Window.partitionBy("part").orderBy("seq")
     sized = shards.select("part", "seq", (F.sum("n_ids").over(inside) - F.col("n_ids")).alias("_inside"))
     starts = sized.join(firsts, "part").select("part", "seq", (F.col("_first") + F.col("_inside")).alias("start"))
-    return shards.join(starts, ["part", "seq"])
+    # One row for each shard of a million ids goes to the images, which stay where they are.
+    return shards.join(F.broadcast(starts), ["part", "seq"])
 
 
 def save_shards(shards: DataFrame, uri: str) -> None:

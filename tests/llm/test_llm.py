@@ -268,6 +268,17 @@ def test_token_ids_are_the_library_s(name):
         assert np.frombuffer(got, "<u4").tolist() == want.ids, repr(text)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_go_straight_to_the_library_s_merging(name, monkeypatch):
+    encoder = tokens.Encoder(name, limit=3)
+    texts = ["Übung macht den Meister", "wörter ÀÉÎ ßß  zwei\nzeilen Nur Ñandú", "x" * 300 + " kurz, lang"] * 2
+    wanted = [e.ids for e in encoder.whole.encode_batch(texts, add_special_tokens=False)]
+    sent, encode = [], encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda ts: sent.extend(ts) or encode(ts))
+    assert [np.frombuffer(encoder.encode([t])[0], "<u4").tolist() for t in texts] == wanted
+    assert sent and not [t for t in sent if t.strip().isalpha() and not t.startswith(("\n", "  "))]
+
+
 def test_pieces_and_places(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = packing.place(packing.pieces(docs, keep_ids=True).cache())

@@ -67,3 +67,12 @@ def test_files_stay_and_are_found_again(spark, tmp_path):
     assert f"place {found[1]}" in told.stdout
     wavelet.save_shards(wavelet.write_shards(docs.limit(0)), place)
     assert wavelet.load_shards(spark, place).count() == 0 and wavelet.find_id(spark, place, value, 0) is None
+
+
+def test_images_stay_where_they_are_when_they_are_placed(spark):
+    rows = [(p, s, 1, 3 + p, b"image") for p in range(3) for s in range(4)]
+    shards = spark.createDataFrame(rows, wavelet.SHARDS)
+    found = wavelet.placed(shards).orderBy("start")
+    assert [(r.part, r.seq) for r in found.collect()] == [(r[0], r[1]) for r in rows]
+    plan = wavelet.placed(shards)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import few, passing, settle, table, text_of, unused
+from heddle.llm.common import few, forgetting, passing, settle, table, text_of, texts_at_once, unused
 from heddle.llm.components import components
 
 BITS = 64
@@ -116,7 +116,7 @@ def wide_fingerprints(docs: DataFrame, shingle: int, words: int = WORDS, text_co
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "row", "id", "more", "wide"])
 
     named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _row_key(docs, text_col).alias("row"), text_of(docs, text_col).alias("text"))
-    return named.mapInArrow(run, "doc_id long, row binary, id long, more long, wide binary")
+    return named.mapInArrow(forgetting(run), "doc_id long, row binary, id long, more long, wide binary")
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text") -> DataFrame:
@@ -128,7 +128,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found)], names=["doc_id", "fp"])
 
     named = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs, text_col).alias("text"))
-    return named.mapInArrow(run, "doc_id long, fp long")
+    return named.mapInArrow(forgetting(run), "doc_id long, fp long")
 
 
 def stretches(budget: int) -> list[tuple[int, int]]:
@@ -448,7 +448,7 @@ def links(leaves: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFram
         return _by_unit(batches, edges, solve, None if "root" in also else lambda rows, cuts: _dense(rows, cuts, budget))
 
     dealt = calm.select("trie", "key", "id", *also, node.alias("node")).repartition("trie", "node").sortWithinPartitions("trie", "key").drop("node")
-    found = dealt.mapInArrow(run_tops, "u long, v long")
+    found = dealt.mapInArrow(forgetting(run_tops), "u long, v long")
     if not crowded:
         return found
 
@@ -465,7 +465,7 @@ def links(leaves: DataFrame, budget: int = BUDGET, leaf: int = LEAF) -> DataFram
 
     low = leaves.join(few(named), (F.col("trie") == F.col("_trie")) & (node == F.col("_a")), "left_semi")
     rows = unit_rows(low, units(low, tops, budget, leaf))
-    return found.union(rows.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(run_units, "u long, v long"))
+    return found.union(rows.repartition(*UNIT).sortWithinPartitions(*UNIT).mapInArrow(forgetting(run_units), "u long, v long"))
 
 
 def near_duplicates(
@@ -510,7 +510,7 @@ def alike(links: DataFrame, texts: DataFrame, shingle: int, least: float) -> Dat
 
     ends = texts.select(F.col("id").alias("v"), F.col("text").alias("b"))
     both = links.join(ends, "v").join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long, ok boolean")
+    return both.select("u", "v", "a", "b").mapInArrow(forgetting(run), "u long, v long, ok boolean")
 
 
 def _row_key(docs: DataFrame, text_col: str) -> Column:
@@ -527,7 +527,8 @@ def _judged(found: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int,
         chosen = settle(ends.join(classes, "id").select("id", F.col("one.row").alias("row")))
         named = docs.select(_row_key(docs, text_col).alias("row"), text_of(docs, text_col).alias("text"))
         texts = settle(named.join(few(chosen), "row").select("id", "text"))
-        return keep(alike(found, texts, shingle, likeness).groupBy("u", "v").agg(F.first("ok").alias("ok")))
+        with texts_at_once(docs.sparkSession):
+            return keep(alike(found, texts, shingle, likeness).groupBy("u", "v").agg(F.first("ok").alias("ok")))
 
 
 def alike_roots(docs: DataFrame, classes: DataFrame, shingle: int, leaf: int, likeness: float, text_col: str = "text") -> DataFrame:
@@ -573,7 +574,9 @@ def _classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _likeness(docs: DataFrame, shingle: int, leaf: int, text_col: str, likeness: float) -> tuple[DataFrame, DataFrame]:
     """``doc_id, id`` of each row, and ``id, one, root`` of each class; ``one`` is its least row, without an id last."""
-    prints, classes = _classes(settle(wide_fingerprints(docs, shingle, text_col=text_col)))
+    with texts_at_once(docs.sparkSession):
+        prints = settle(wide_fingerprints(docs, shingle, text_col=text_col))
+    prints, classes = _classes(prints)
     roots = alike_roots(docs, classes, shingle, leaf, likeness, text_col)
     rooted = classes.join(roots, classes["id"] == roots["u"], "left").select("id", "one", F.coalesce("root", "id").alias("root"))
     return prints.select("doc_id", "id"), settle(rooted)

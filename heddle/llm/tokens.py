@@ -16,6 +16,8 @@ from functools import lru_cache
 from itertools import chain, compress, count
 from operator import not_
 
+from heddle.llm.common import remembers
+
 #: Letters after which a cut is certain if an ASCII character that is no letter follows.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _NEXT = r"(?![^\x00-\x40\x5b-\x60\x7b-\x7f])"
@@ -119,6 +121,7 @@ class Encoder:
         return found
 
 
+@remembers
 @lru_cache(maxsize=4)
 def encoder(name: str) -> Encoder:
     """One encoder per vocabulary and Python worker."""

@@ -656,3 +656,49 @@ def test_pipeline_stages_on_odd_and_empty_tables(spark, crowded, tmp_path):
             docs = stage(spark, docs, str(tmp_path)).cache()
             assert docs.columns == columns and docs.count() == size, name
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).select("doc_id").distinct().count() == sizes[-1]
+
+
+def test_near_duplicates_do_not_keep_what_other_steps_remember(spark):
+    """Workers that encoded texts are used again; their encoders are gone by the time near-duplicates have been judged in them."""
+    docs = spark.createDataFrame([(i, f"text {i} " * 60) for i in range(64)], "doc_id long, text string").repartition(32)
+
+    def encoders(batches):
+        import pyarrow as pa
+
+        from heddle.llm import tokens
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([tokens.encoder.cache_info().currsize])], names=["n"])
+
+    held = lambda: sum(r["n"] for r in docs.mapInArrow(encoders, "n long").collect())
+    assert packing.pieces(docs).count() >= 64
+    assert held() > 0
+    assert simhash.near_copies(docs, 5).count() == 64
+    assert held() == 0
+
+
+def test_texts_at_once(spark):
+    """Texts reach Python in small batches within the block, and the session's own number holds after it."""
+    from heddle.llm.common import texts_at_once
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.range(2500, numPartitions=1)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)])], names=["n"])
+
+    most = lambda: max(r["n"] for r in docs.mapInArrow(sizes, "n long").collect())
+    before = spark.conf.get(name, None)
+    with texts_at_once(spark):
+        assert most() == 1000
+    assert spark.conf.get(name, None) == before and most() == 2500
+    spark.conf.set(name, "300")
+    try:
+        with texts_at_once(spark):
+            assert most() == 300
+        assert spark.conf.get(name) == "300"
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)

@@ -6,6 +6,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from heddle.llm import tokens, wavelet
@@ -76,3 +77,32 @@ def test_images_stay_where_they_are_when_they_are_placed(spark):
     assert [(r.part, r.seq) for r in found.collect()] == [(r[0], r[1]) for r in rows]
     plan = wavelet.placed(shards)._jdf.queryExecution().optimizedPlan().toString()
     assert "rightHint=(strategy=broadcast)" in plan
+
+
+def test_cuttings_of_many_texts_are_looked_up_once(monkeypatch):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key):
+            Counted.asked += 1
+            return super().get(key)
+
+    encoder = tokens.Encoder(wavelet.VOCABULARY)
+    monkeypatch.setattr(encoder, "known", Counted())
+    monkeypatch.setattr(encoder, "merge", None)  # words go to the library together
+    texts = [" ".join(("river", "Über", "don't", "stone,")[(i + k) % 4] for k in range(50)) for i in range(40)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [e.ids for e in encoder.whole.encode_batch(texts, add_special_tokens=False)]
+    assert Counted.asked <= 6  # river, Über, don, 't, stone and the comma
+
+
+@pytest.mark.parametrize("together", [1, 40, 1 << 20])
+def test_ids_of_texts_that_are_cut_together(monkeypatch, together):
+    monkeypatch.setattr(tokens, "BYTES_TOGETHER", together)
+    encoder = tokens.Encoder(wavelet.VOCABULARY, limit=5)
+    texts = ["left out", "é", "Ã÷ b×c é÷ ÿ.", "", None, "ΑΣ. Σa, 日本abc, c", "e\u0301, a\u00a0b\u2028c", "a\0b a\0 a", "x\x1cy", "<|endoftext|> a", "\u0301a \u0338= =\u0338",
+             "\x85 \x0b\x0c\r\n", "A" * 300 + " b" * 3, "it's 'S 'ſ don't!!'s", "last"]
+    column = pa.array(texts).slice(1)
+    ids, lengths = encoder.encode_all(column)
+    wanted = [e.ids for e in encoder.whole.encode_batch([t or "" for t in texts[1:]], add_special_tokens=False)]
+    assert lengths.tolist() == list(map(len, wanted)) and ids.tolist() == sum(wanted, [])
+    assert encoder.encode_all(column.slice(0, 0))[1].tolist() == [] and encoder.encode([]) == []
